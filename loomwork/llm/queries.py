@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
+from loomwork.llm.language import op5_language
+from loomwork.llm.media import op2_media
+from loomwork.llm.packing import op10_packed_ids
+from loomwork.llm.pii import op6_pseudonyms
+from loomwork.llm.quality import op9_quality
 from loomwork.llm.toxicity import op1_toxicity
 
-QUERIES = {"op1_toxicity": op1_toxicity}
+QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_media": op2_media,
+    "op5_language": op5_language,
+    "op6_pseudonyms": op6_pseudonyms,
+    "op9_quality": op9_quality,
+    "op10_packed_ids": op10_packed_ids,
+}
 ORACLES: dict[str, str] = {}
