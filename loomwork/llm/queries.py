@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from loomwork.llm.language import op5_language
 from loomwork.llm.media import op2_media
+from loomwork.llm.neardup import op8_near_duplicates
 from loomwork.llm.packing import op10_packed_ids
 from loomwork.llm.pii import op6_pseudonyms
 from loomwork.llm.quality import op9_quality
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_media": op2_media,
     "op5_language": op5_language,
     "op6_pseudonyms": op6_pseudonyms,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_quality": op9_quality,
     "op10_packed_ids": op10_packed_ids,
 }
