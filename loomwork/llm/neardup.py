@@ -268,7 +268,10 @@ def _compare(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, class_id, texts) of every row of documents(doc_id, text): its class's id and number of different texts."""
+    """(doc_id, text_key, class_id, class_key, texts) of every row of documents(doc_id, text).
+
+    class_id and class_key name the row that stands for the class, texts is its number of different texts.
+    """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.unhex(F.md5("text")))
     weight = spark.sparkContext.broadcast(weights(rows))
@@ -317,9 +320,18 @@ def duplicates(docs: DataFrame) -> DataFrame:
     classes = components(links)
     named = texts.select("text_key", "doc_id").join(classes, F.col("text_key") == F.col("v"), "left").select("text_key", "doc_id", F.coalesce("label", "text_key").alias("label"))
     named = kept(named, "named")
-    ids = named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("texts"))
-    named = named.join(ids, "label").select("text_key", "class_id", "texts")
-    return signed.select("doc_id", "text_key").join(named, "text_key").select("doc_id", "text_key", "class_id", "texts")
+    first = F.min(F.struct(F.isnull("doc_id").alias("unknown"), "doc_id", "text_key"))
+    ids = named.groupBy("label").agg(first.alias("first"), F.count("*").alias("texts"))
+    named = named.join(ids, "label").select("text_key", F.col("first.doc_id").alias("class_id"), F.col("first.text_key").alias("class_key"), "texts")
+    return signed.select("doc_id", "text_key").join(named, "text_key").select("doc_id", "text_key", "class_id", "class_key", "texts")
+
+
+def without_duplicates(docs: DataFrame) -> DataFrame:
+    """One row of each class, that of the least doc_id, with all its columns."""
+    first = duplicates(docs).where((F.col("text_key") == F.col("class_key")) & F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "text_key").distinct()
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_key"))
+    same = (rows["text_key"] == first["text_key"]) & rows["doc_id"].eqNullSafe(first["doc_id"])
+    return rows.join(first, same, "left_semi").dropDuplicates(["text_key", "doc_id"]).select("row.*")
 
 
 def op8_near_duplicates(spark, sf_dir: str) -> DataFrame:

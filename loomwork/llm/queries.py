@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from loomwork.llm.decontamination import op7_decontamination
 from loomwork.llm.language import op5_language
 from loomwork.llm.media import op2_media
+from loomwork.llm.mixing import OP3_SQL, op3_mixed_sources
 from loomwork.llm.neardup import op8_near_duplicates
 from loomwork.llm.packing import op10_packed_ids
 from loomwork.llm.pii import op6_pseudonyms
@@ -13,10 +15,12 @@ from loomwork.llm.toxicity import op1_toxicity
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_media": op2_media,
+    "op3_mixed_sources": op3_mixed_sources,
     "op5_language": op5_language,
     "op6_pseudonyms": op6_pseudonyms,
+    "op7_decontamination": op7_decontamination,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_quality": op9_quality,
     "op10_packed_ids": op10_packed_ids,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_mixed_sources": OP3_SQL}
