@@ -10,12 +10,14 @@ from loomwork.llm.neardup import op8_near_duplicates
 from loomwork.llm.packing import op10_packed_ids
 from loomwork.llm.pii import op6_pseudonyms
 from loomwork.llm.quality import op9_quality
+from loomwork.llm.substrings import op4_substring_dedup
 from loomwork.llm.toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_media": op2_media,
     "op3_mixed_sources": op3_mixed_sources,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_language": op5_language,
     "op6_pseudonyms": op6_pseudonyms,
     "op7_decontamination": op7_decontamination,
