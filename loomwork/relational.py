@@ -1,11 +1,17 @@
-"""Queries over the star schema and the event table, each with the SQL that checks it."""
+"""Queries over the star schema and the event table, each with the SQL that checks it.
+
+Sums are taken over exact decimals and given as whole numbers of their last digit (e2, e4), so
+they don't depend on the order of the rows.
+Integers that the two engines give in different widths are cast to bigint on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomwork.tables import load
 
@@ -22,14 +28,20 @@ def query(sql: str):
     return register
 
 
-def money(expr: str) -> str:
-    """Exact decimals, so that sums don't depend on the order of the rows."""
-    return f"cast({expr} as decimal(18,2))"
+def money(name: str) -> Column:
+    return F.col(name).cast("decimal(18,2)")
+
+
+def revenue() -> Column:
+    return money("l_extendedprice") * (1 - F.col("l_discount").cast("decimal(4,2)"))
+
+
+# -- joins and aggregates --------------------------------------------------------------
 
 
 @query("""
 select r_name, n_name,
-       cast(sum(cast(l_extendedprice as decimal(18,2)) * (1 - cast(l_discount as decimal(4,2)))) as decimal(38,4)) as revenue,
+       cast(10000 * sum(cast(l_extendedprice as decimal(18,2)) * (1 - cast(l_discount as decimal(4,2)))) as bigint) as revenue_e4,
        count(*) as n
 from lineitem join orders on l_orderkey = o_orderkey
      join customer on o_custkey = c_custkey
@@ -40,5 +52,176 @@ def revenue_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda name: load(spark, sf_dir, name)
     places = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     rows = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(places, F.col("c_nationkey") == F.col("n_nationkey"))
-    value = F.expr(f"{money('l_extendedprice')} * (1 - cast(l_discount as decimal(4,2)))")
-    return rows.groupBy("r_name", "n_name").agg(F.sum(value).cast("decimal(38,4)").alias("revenue"), F.count("*").alias("n"))
+    return rows.groupBy("r_name", "n_name").agg((10000 * F.sum(revenue())).cast("long").alias("revenue_e4"), F.count("*").alias("n"))
+
+
+@query("""
+select l_returnflag, l_linestatus, count(*) as n,
+       cast(100 * sum(cast(l_quantity as decimal(18,2))) as bigint) as quantity_e2,
+       min(l_shipdate) as first_ship, max(l_shipdate) as last_ship,
+       count(distinct l_orderkey) as orders
+from lineitem where l_shipdate <= timestamp '1998-09-02 00:00:00'
+group by l_returnflag, l_linestatus""")
+def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "lineitem").where("l_shipdate <= timestamp_ntz'1998-09-02 00:00:00'")
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), (100 * F.sum(money("l_quantity"))).cast("long").alias("quantity_e2"), F.min("l_shipdate").alias("first_ship"), F.max("l_shipdate").alias("last_ship"), F.countDistinct("l_orderkey").alias("orders"))
+
+
+@query("""
+select o_orderkey, o_orderpriority from orders
+where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_quantity > 45)""")
+def orders_with_large_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    large = load(spark, sf_dir, "lineitem").where("l_quantity > 45")
+    orders = load(spark, sf_dir, "orders")
+    return orders.join(large, orders["o_orderkey"] == large["l_orderkey"], "left_semi").select("o_orderkey", "o_orderpriority")
+
+
+@query("""
+select o_orderkey, o_custkey from orders
+where not exists (select 1 from lineitem where l_orderkey = o_orderkey)""")
+def orders_without_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, lines = load(spark, sf_dir, "orders"), load(spark, sf_dir, "lineitem")
+    return orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"], "left_anti").select("o_orderkey", "o_custkey")
+
+
+@query("""
+select c_custkey, count(o_orderkey) as orders, max(o_orderdate) as latest
+from customer left join orders on o_custkey = c_custkey and o_orderstatus = 'F'
+group by c_custkey""")
+def orders_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = load(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+    customer = load(spark, sf_dir, "customer")
+    return customer.join(done, customer["c_custkey"] == done["o_custkey"], "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("orders"), F.max("o_orderdate").alias("latest"))
+
+
+@query("""
+select c_nationkey, c_mktsegment, cast(grouping(c_nationkey) as bigint) as all_nations,
+       cast(grouping(c_mktsegment) as bigint) as all_segments, count(*) as n
+from customer group by cube (c_nationkey, c_mktsegment)""")
+def customers_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "customer").cube("c_nationkey", "c_mktsegment").agg(F.grouping("c_nationkey").cast("long").alias("all_nations"), F.grouping("c_mktsegment").cast("long").alias("all_segments"), F.count("*").alias("n"))
+
+
+@query("""
+select user_id, count(*) filter (where event_type = 'click') as clicks,
+       count(*) filter (where event_type = 'purchase') as purchases
+from events group by user_id having count(*) filter (where event_type = 'purchase') > 0""")
+def buyers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = {"clicks": "click", "purchases": "purchase"}
+    return load(spark, sf_dir, "events").groupBy("user_id").agg(*(F.count_if(F.col("event_type") == v).alias(k) for k, v in kinds.items())).where("purchases > 0")
+
+
+# -- windows, order, sets --------------------------------------------------------------
+
+
+@query("""
+select o_custkey, o_orderkey, cast(rn as bigint) as rn, cast(rk as bigint) as rk from (
+  select o_custkey, o_orderkey,
+         row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rn,
+         rank() over (partition by o_custkey order by o_orderdate) as rk
+  from orders) where rn <= 3""")
+def top_orders_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = Window.partitionBy("o_custkey")
+    ranked = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(own.orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("rn"), F.rank().over(own.orderBy("o_orderdate")).alias("rk"))
+    return ranked.where("rn <= 3").select("o_custkey", "o_orderkey", F.col("rn").cast("long"), F.col("rk").cast("long"))
+
+
+@query("""
+select event_id, user_id, lag(event_type) over w as before, lead(event_type) over w as after,
+       count(*) over (partition by user_id order by ts, event_id rows between 4 preceding and current row) as recent
+from events window w as (partition by user_id order by ts, event_id)""")
+def neighbouring_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return load(spark, sf_dir, "events").select("event_id", "user_id", F.lag("event_type").over(w).alias("before"), F.lead("event_type").over(w).alias("after"), F.count("*").over(w.rowsBetween(-4, 0)).alias("recent"))
+
+
+@query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 20")
+def largest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty largest: the limit is what is asked for."""
+    return load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
+
+
+@query("""
+select c_nationkey as nationkey from customer intersect select s_nationkey from supplier
+except select n_nationkey from nation where n_regionkey = 0""")
+def shared_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda name, key: load(spark, sf_dir, name).select(F.col(key).alias("nationkey"))
+    africa = load(spark, sf_dir, "nation").where("n_regionkey = 0").select(F.col("n_nationkey").alias("nationkey"))
+    return t("customer", "c_nationkey").intersect(t("supplier", "s_nationkey")).subtract(africa)
+
+
+# -- time ------------------------------------------------------------------------------
+
+
+@query("""
+with g as (select *, sum(case when p is null or ts - p >= interval 30 minute then 1 else 0 end)
+                     over (partition by user_id order by ts, event_id) as sid
+           from (select *, lag(ts) over (partition by user_id order by ts, event_id) as p from events))
+select user_id, min(ts) as begins, max(ts) + interval 30 minute as ends, count(*) as n
+from g group by user_id, sid""")
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = load(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("s")).agg(F.count("*").alias("n"))
+    return s.select("user_id", F.col("s.start").alias("begins"), F.col("s.end").alias("ends"), "n")
+
+
+@query("""
+select w as begins, event_type, count(*) as n
+from (select event_type, unnest([time_bucket(interval 30 minute, ts), time_bucket(interval 30 minute, ts) - interval 30 minute]) as w from events)
+group by w, event_type""")
+def sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = load(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour", "30 minutes").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return s.select(F.col("w.start").alias("begins"), "event_type", "n")
+
+
+@query("""
+select p.event_id, c.event_id as click_id
+from (select * from events where event_type = 'purchase') p
+asof left join (select * from events where event_type = 'click') c
+on p.user_id = c.user_id and p.ts >= c.ts""")
+def click_before_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As-of join: one sort of both kinds by user and time, and the last click seen so far. Linear in the events of a user."""
+    e = load(spark, sf_dir, "events").where(F.col("event_type").isin("click", "purchase"))
+    w = Window.partitionBy("user_id").orderBy("ts", F.col("event_type")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = e.withColumn("click_id", F.last(F.when(F.col("event_type") == "click", F.col("event_id")), ignorenulls=True).over(w))
+    return seen.where("event_type = 'purchase'").select("event_id", "click_id")
+
+
+@query("""
+select cast(year(o_orderdate) as bigint) as year, cast(quarter(o_orderdate) as bigint) as quarter, o_orderstatus,
+       count(*) as n, cast(100 * sum(cast(o_totalprice as decimal(18,2))) as bigint) as total_e2
+from orders group by all""")
+def orders_by_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").cast("long").alias("year"), F.quarter("o_orderdate").cast("long").alias("quarter"), "o_orderstatus").agg(F.count("*").alias("n"), (100 * F.sum(money("o_totalprice"))).cast("long").alias("total_e2"))
+
+
+# -- strings, JSON, arrays -------------------------------------------------------------
+
+
+@query("""
+select json_extract_string(props, '$.k') as k, count(*) as n, min(event_id) as first_event
+from events group by 1""")
+def events_by_property(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "events").groupBy(F.get_json_object("props", "$.k").alias("k")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
+
+
+@query("""
+select p_partkey, upper(p_name) as name, cast(length(p_type) as bigint) as type_length,
+       case when p_size < 10 then 'small' when p_size < 30 then 'medium' else 'large' end as class
+from part where p_brand like '%1' and p_type in ('ECONOMY', 'LARGE', 'PROMO') and p_size between 5 and 40""")
+def parts_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = load(spark, sf_dir, "part").where(F.col("p_brand").like("%1") & F.col("p_type").isin("ECONOMY", "LARGE", "PROMO") & F.col("p_size").between(5, 40))
+    return p.select("p_partkey", F.upper("p_name").alias("name"), F.length("p_type").cast("long").alias("type_length"), F.when(F.col("p_size") < 10, "small").when(F.col("p_size") < 30, "medium").otherwise("large").alias("class"))
+
+
+@query("""
+select label, cast(pos as bigint) as pos, count(*) as n, count(*) filter (where x > 0) as positive
+from (select label, unnest(embedding) as x, generate_subscripts(embedding, 1) - 1 as pos from embeddings)
+group by label, pos""")
+def embedding_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("pos", "x"))
+    return e.groupBy("label", F.col("pos").cast("long").alias("pos")).agg(F.count("*").alias("n"), F.count_if(F.col("x") > 0).alias("positive"))
+
+
+@query("select md5(text) as digest, min(doc_id) as first_doc, count(*) as n from documents group by 1")
+def exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "documents").groupBy(F.md5("text").alias("digest")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
