@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from loomwork.llm.common import kept, table
 
 WIDTH, THRESHOLD, BITS, RADIUS = 5, 0.8, 64, 24
-MOST_SHINGLES, MOST_CANDIDATES = 500_000, 100_000
+MOST_SHINGLES, MOST_WINDOWS = 500_000, 500_000
 
 
 def words(text: Column) -> Column:
@@ -93,8 +93,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     starts = starts.groupBy("text_key", "item_key", "n_words", "whole").agg(F.sum("weight").alias("shared"), F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
     starts = kept(starts.where(F.col("shared") >= F.lit(THRESHOLD - 1e-9) * F.col("whole")).select("text_key", "n_words", "starts").groupBy("text_key").agg(F.array_distinct(F.flatten(F.collect_list(F.transform("starts", lambda s: F.struct(F.col("n_words"), s.alias("start")))))).alias("windows")), "windows")
 
-    light = starts.count() <= MOST_CANDIDATES and starts.agg(F.max(F.size("windows"))).first()[0] or 0
-    texts = rows.join(F.broadcast(starts) if light and light <= 1000 else starts, "text_key").dropDuplicates(["text_key"])
+    # windows are of fixed size, so their number bounds what is broadcast
+    light = (starts.agg(F.sum(F.size("windows"))).first()[0] or 0) <= MOST_WINDOWS
+    texts = rows.join(F.broadcast(starts) if light else starts, "text_key").dropDuplicates(["text_key"])
     windows = texts.select("text_key", words(F.col("text")).alias("w"), F.explode("windows").alias("at")).select("text_key", F.col("at.start").alias("start"), F.col("at.n_words").alias("n_words"), F.slice("w", F.col("at.start") + 1, F.col("at.n_words")).alias("w"))
     windows = windows.where(F.size("w") >= WIDTH).withColumn("window", weighted(F.col("w"))).drop("w")
     windows = kept(windows.withColumn("print", fingerprint(F.col("window"))), "prints")

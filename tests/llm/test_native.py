@@ -127,7 +127,7 @@ def test_shuffled_way_gives_the_same(frame, items, monkeypatch):
     df = frame([t for _, t in items[1]])
     a = sorted(map(tuple, decontamination.contaminated(df, items[0]).collect()), key=str)
     monkeypatch.setattr(decontamination, "MOST_SHINGLES", 0)
-    monkeypatch.setattr(decontamination, "MOST_CANDIDATES", 0)
+    monkeypatch.setattr(decontamination, "MOST_WINDOWS", -1)
     assert sorted(map(tuple, decontamination.contaminated(df, items[0]).collect()), key=str) == a
 
 
