@@ -225,3 +225,155 @@ def embedding_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select md5(text) as digest, min(doc_id) as first_doc, count(*) as n from documents group by 1")
 def exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").groupBy(F.md5("text").alias("digest")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
+
+
+# -- more joins ------------------------------------------------------------------------
+
+
+@query("""
+select a.event_id, b.event_id as later_id from events a join events b
+on a.user_id = b.user_id and b.ts > a.ts and b.ts <= a.ts + interval 1 hour""")
+def events_within_an_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interval join: the hour is an equality key, so a user's events meet those of the same or the next hour only."""
+    e = load(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    a = e.withColumn("hour", F.explode(F.array(F.date_trunc("hour", "ts"), F.date_trunc("hour", F.col("ts") + F.expr("interval 1 hour"))))).alias("a")
+    b = e.withColumn("hour", F.date_trunc("hour", "ts")).alias("b")
+    near = a.join(b, ["user_id", "hour"]).where("b.ts > a.ts and b.ts <= a.ts + interval 1 hour")
+    return near.select(F.col("a.event_id").alias("event_id"), F.col("b.event_id").alias("later_id"))
+
+
+@query("""
+select n_nationkey, count(distinct c_custkey) as customers, count(distinct s_suppkey) as suppliers
+from nation left join customer on c_nationkey = n_nationkey left join supplier on s_nationkey = n_nationkey
+group by n_nationkey""")
+def parties_of_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each side is counted before it is joined, so customers never meet suppliers row by row."""
+    count = lambda name, key, n: load(spark, sf_dir, name).groupBy(F.col(key).alias("n_nationkey")).agg(F.count("*").alias(n))
+    all_ = load(spark, sf_dir, "nation").select("n_nationkey").join(count("customer", "c_nationkey", "customers"), "n_nationkey", "left").join(count("supplier", "s_nationkey", "suppliers"), "n_nationkey", "left")
+    return all_.fillna(0, ["customers", "suppliers"])
+
+
+@query("""
+select coalesce(c.k, s.k) as nationkey, c.n as rich_customers, s.n as rich_suppliers
+from (select c_nationkey as k, count(*) as n from customer where c_acctbal > 9500 group by 1) c
+full join (select s_nationkey as k, count(*) as n from supplier where s_acctbal > 5000 group by 1) s on c.k = s.k""")
+def rich_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = load(spark, sf_dir, "customer").where("c_acctbal > 9500").groupBy(F.col("c_nationkey").alias("nationkey")).agg(F.count("*").alias("rich_customers"))
+    s = load(spark, sf_dir, "supplier").where("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("nationkey")).agg(F.count("*").alias("rich_suppliers"))
+    return c.join(s, "nationkey", "full")
+
+
+@query("""
+select o_orderkey, o_totalprice from orders o
+where o_totalprice > 1.5 * (select avg(cast(o_totalprice as decimal(18,2))) from orders i where i.o_custkey = o.o_custkey)""")
+def outstanding_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A correlated average, as a join with the averages of all customers."""
+    orders = load(spark, sf_dir, "orders")
+    mean = orders.groupBy("o_custkey").agg(F.avg(money("o_totalprice")).cast("double").alias("mean"))
+    return orders.join(mean, "o_custkey").where("o_totalprice > 1.5 * mean").select("o_orderkey", "o_totalprice")
+
+
+# -- more aggregates and windows -------------------------------------------------------
+
+
+@query("""
+select p_brand, p_type, count(*) as n, min(p_size) as least_size from part
+group by grouping sets ((p_brand), (p_type), (p_brand, p_type), ())""")
+def part_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = load(spark, sf_dir, "part")
+    b, t = F.col("p_brand"), F.col("p_type")
+    return p.groupingSets([[b], [t], [b, t], []], b, t).agg(F.count("*").alias("n"), F.min("p_size").alias("least_size"))
+
+
+@query("""
+select year(o_orderdate)::bigint as year, o_orderstatus, count(*) as n
+from orders group by rollup (year(o_orderdate)::bigint, o_orderstatus)""")
+def orders_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate").cast("long")).rollup("year", "o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@query("""
+select event_type, round(quantile_cont(value, 0.5), 6) as median, round(quantile_cont(value, 0.95), 6) as high,
+       round(avg(value), 6) as mean, round(stddev_samp(value), 6) as deviation
+from events group by event_type""")
+def value_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = lambda c, name: F.round(c, 6).alias(name)
+    return load(spark, sf_dir, "events").groupBy("event_type").agg(r(F.percentile("value", 0.5), "median"), r(F.percentile("value", 0.95), "high"), r(F.avg("value"), "mean"), r(F.stddev_samp("value"), "deviation"))
+
+
+@query("""
+select user_id, count(*) filter (where event_type = 'click') as click, count(*) filter (where event_type = 'view') as view
+from events group by user_id""")
+def events_pivoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = load(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", ["click", "view"]).agg(F.count("event_id"))
+    return p.fillna(0, ["click", "view"])
+
+
+@query("""
+select event_id, count(*) over (partition by user_id order by ts range between interval 1 hour preceding and current row) as last_hour
+from events""")
+def events_of_the_last_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "events").selectExpr("event_id", "count(*) over (partition by user_id order by ts range between interval 1 hour preceding and current row) as last_hour")
+
+
+@query("""
+select o_orderkey, cast(ntile(4) over w as bigint) as quartile, round(percent_rank() over w, 9) as share, round(cume_dist() over w, 9) as cumulated
+from orders window w as (partition by o_orderpriority order by o_totalprice, o_orderkey)""")
+def price_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("o_orderpriority").orderBy("o_totalprice", "o_orderkey")
+    return load(spark, sf_dir, "orders").select("o_orderkey", F.ntile(4).over(w).cast("long").alias("quartile"), F.round(F.percent_rank().over(w), 9).alias("share"), F.round(F.cume_dist().over(w), 9).alias("cumulated"))
+
+
+@query("""
+select l_suppkey, l_partkey from lineitem where l_returnflag = 'R'
+except all select l_suppkey, l_partkey from lineitem where l_returnflag = 'A'""")
+def returns_beyond_accepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = load(spark, sf_dir, "lineitem")
+    of = lambda flag: lines.where(F.col("l_returnflag") == flag).select("l_suppkey", "l_partkey")
+    return of("R").exceptAll(of("A"))
+
+
+# -- nested values ---------------------------------------------------------------------
+
+
+@query("""
+select a.vec_id, b.vec_id as other_id, round(list_sum(list_transform(generate_series(1, 64), lambda i: cast(a.embedding[i] as double) * cast(b.embedding[i] as double))), 5) as dot
+from embeddings a join embeddings b on b.vec_id = a.vec_id + 1""")
+def neighbouring_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    other = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("other_id"), F.col("v").alias("u"))
+    dot = F.aggregate(F.zip_with("v", "u", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
+    return e.join(other, "vec_id").select("vec_id", "other_id", F.round(dot, 5).alias("dot"))
+
+
+@query("""
+select r_name, list_sort(list(n_name)) as nations from nation join region on n_regionkey = r_regionkey group by r_name""")
+def nations_of_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = load(spark, sf_dir, "nation").join(load(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return both.groupBy("r_name").agg(F.array_sort(F.collect_list("n_name")).alias("nations"))
+
+
+@query("""
+select conv_id, count(*) as turns, string_agg(role, '>' order by turn) as roles,
+       cast(sum(length(text)) as bigint) as chars
+from conversations group by conv_id""")
+def conversation_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roles = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ">")
+    return load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), roles.alias("roles"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("""
+select lower(regexp_extract(url, '^https?://([^/]+)', 1)) as host, count(*) as pages, cast(max(length(html)) as bigint) as longest
+from pages group by 1""")
+def pages_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "pages").groupBy(F.lower(F.regexp_extract("url", r"^https?://([^/]+)", 1)).alias("host")).agg(F.count("*").alias("pages"), F.max(F.length("html")).cast("long").alias("longest"))
+
+
+@query("""
+with recursive days(d) as (select timestamp '2024-01-01 00:00:00' union all select d + interval 1 day from days where d < timestamp '2024-01-30 00:00:00')
+select d as day, count(event_id) as n from days left join events on date_trunc('day', ts) = d group by d""")
+def events_of_each_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days without events as well."""
+    days = spark.range(1).select(F.explode(F.expr("sequence(timestamp_ntz'2024-01-01 00:00:00', timestamp_ntz'2024-01-30 00:00:00', interval 1 day)")).alias("day"))
+    e = load(spark, sf_dir, "events").select(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), "event_id")
+    return days.join(e, "day", "left").groupBy("day").agg(F.count("event_id").alias("n"))

@@ -1,4 +1,4 @@
-"""Each relational query against its SQL, run by DuckDB over the same tables."""
+"""Each query over the star schema and the events against its SQL, run by DuckDB over the same tables."""
 
 import math
 from pathlib import Path
@@ -7,8 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from loomwork import relational
+from loomwork import formats, relational, streams
 
+QUERIES = {**relational.QUERIES, **formats.QUERIES, **streams.QUERIES}
+ORACLES = {**relational.ORACLES, **formats.ORACLES, **streams.ORACLES}
 SF = "/root/testdata/sf0.001"
 
 
@@ -25,12 +27,12 @@ def plain(rows):
     return sorted(tuple(map(clean, r)) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(relational.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_against_sql(spark, duck, name):
-    df = relational.QUERIES[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     ours = [tuple(r[c] for c in columns) for r in df.collect()]
-    got = duck.execute(relational.ORACLES[name])
+    got = duck.execute(ORACLES[name])
     names = [d[0] for d in got.description]
     theirs = [tuple(r[names.index(c)] for c in columns) for r in got.fetchall()]
     assert sorted(names) == columns
@@ -41,6 +43,6 @@ def test_entry_has_rows(spark):
     assert __spark_entry__.entry(spark).count() == 25
 
 
-def test_each_relational_query_is_registered():
-    assert relational.QUERIES.keys() <= __spark_entry__.queries().keys()
+def test_each_query_is_registered():
+    assert QUERIES.keys() <= __spark_entry__.queries().keys()
     assert __spark_entry__.oracle_sql().keys() <= __spark_entry__.queries().keys()
