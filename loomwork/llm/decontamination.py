@@ -125,4 +125,31 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "start", "n_words", F.round("similarity", 9).alias("similarity"))
+
+
+#: By brute force from every shared shingle on; fingerprints only speed the search up.
+OP7_SQL = rf"""
+with texts as (
+  select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') as w from documents),
+items as (
+  select row_number() over () as k, item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') as w from benchmark),
+item_places as (select k, i, array_to_string(w[i:i + {WIDTH - 1}], ' ') as s from (select k, w, unnest(range(1, len(w) - {WIDTH - 2})) as i from items where len(w) >= {WIDTH})),
+text_places as (select r, i, array_to_string(w[i:i + {WIDTH - 1}], ' ') as s from (select r, w, unnest(range(1, len(w) - {WIDTH - 2})) as i from texts where len(w) >= {WIDTH})),
+item_weights as (select k, s, count(*) * (length(s) - {WIDTH - 1}) as w from item_places group by k, s),
+wholes as (select k, sum(w) as whole from item_weights group by k),
+starts as (select distinct t.r, p.k, greatest(1, t.i - p.i + 1) as a from text_places t join item_places p using (s)),
+window_weights as (
+  select st.r, st.k, st.a, t.s, count(*) * (length(t.s) - {WIDTH - 1}) as w
+  from starts st join items i using (k) join text_places t on t.r = st.r and t.i between st.a and st.a + len(i.w) - {WIDTH}
+  group by st.r, st.k, st.a, t.s),
+scores as (
+  select v.r, v.k, v.a, sum(v.w) as own, sum(least(v.w, coalesce(m.w, 0))) as shared
+  from window_weights v left join item_weights m on m.k = v.k and m.s = v.s group by v.r, v.k, v.a),
+hits as (select r, k, a, shared / (own + whole - shared) as similarity from scores join wholes using (k)),
+best as (
+  select r, i.item_id, a, len(i.w) as n, similarity from hits join items i using (k) where similarity >= {THRESHOLD} - 1e-9
+  qualify row_number() over (partition by r, i.item_id order by similarity desc, a) = 1)
+select doc_id, item_id, cast(a - 1 as integer) as start, cast(n as integer) as n_words, round(similarity, 9) as similarity
+from best join texts using (r)
+"""

@@ -336,3 +336,32 @@ def without_duplicates(docs: DataFrame) -> DataFrame:
 
 def op8_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "texts", F.hex("text_key").alias("text_key"))
+
+
+#: All pairs that share a shingle, and components by recursion: for small tables.
+OP8_SQL = rf"""
+with recursive rows_ as (select doc_id, coalesce(text, '') as text, upper(md5(coalesce(text, ''))) as text_key from documents),
+texts as (
+  select text_key, min(doc_id) as doc_id, count(*) as copies, regexp_extract_all(any_value(text), '[^\x20\x09-\x0D]+') as w from rows_ group by text_key),
+places as (
+  select text_key, array_to_string(w[i:i + least(len(w), {WIDTH}) - 1], ' ') as s
+  from (select text_key, w, unnest(range(1, greatest(1, len(w) - {WIDTH - 1}) + 1)) as i from texts where len(w) > 0)),
+counts as (select text_key, s, count(*) as n from places group by text_key, s),
+total as (select sum(copies) as n from texts),
+weights as (
+  select s, 1 + least(1, ln((select n from total) / sum(copies)) / ln({1 / RARE})) as w
+  from counts join texts using (text_key) group by s),
+weighed as (select text_key, s, n * w as w from counts join weights using (s)),
+sizes as (select text_key, sum(w) as size from weighed group by text_key),
+shared as (
+  select a.text_key as x, b.text_key as y, sum(least(a.w, b.w)) as w
+  from weighed a join weighed b on a.s = b.s and a.text_key < b.text_key group by 1, 2),
+links as (
+  select x, y from shared join sizes p on p.text_key = x join sizes q on q.text_key = y
+  where shared.w >= ({THRESHOLD} - 1e-9) * (p.size + q.size - shared.w)),
+edges as (select x, y from links union all select y, x from links),
+reach(a, b) as (select text_key, text_key from texts union select a, y from reach join edges on b = x),
+labels as (select a as text_key, min(b) as label from reach group by a),
+classes as (select label, min(doc_id) as class_id, count(*) as texts from labels join texts using (text_key) group by label)
+select doc_id, class_id, texts, text_key from rows_ join labels using (text_key) join classes using (label)
+"""

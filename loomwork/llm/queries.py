@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from loomwork.llm.decontamination import op7_decontamination
+from loomwork.llm.decontamination import OP7_SQL, op7_decontamination
 from loomwork.llm.language import op5_language
 from loomwork.llm.media import op2_media
 from loomwork.llm.mixing import OP3_SQL, op3_mixed_sources
-from loomwork.llm.neardup import op8_near_duplicates
+from loomwork.llm.neardup import OP8_SQL, op8_near_duplicates
 from loomwork.llm.packing import op10_packed_ids
 from loomwork.llm.pii import op6_pseudonyms
 from loomwork.llm.quality import op9_quality
-from loomwork.llm.substrings import op4_substring_dedup
+from loomwork.llm.substrings import OP4_SQL, op4_substring_dedup
 from loomwork.llm.toxicity import op1_toxicity
 
 QUERIES = {
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_packed_ids": op10_packed_ids,
 }
-ORACLES = {"op3_mixed_sources": OP3_SQL}
+ORACLES = {"op3_mixed_sources": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op7_decontamination": OP7_SQL, "op8_near_duplicates": OP8_SQL}

@@ -213,3 +213,19 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot:
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = rf"""
+with texts as (
+  select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+windows as (
+  select r, i, md5(array_to_string(w[i:i + {WIDTH - 1}], ' ')) as h
+  from (select r, w, unnest(range(1, len(w) - {WIDTH - 2})) as i from texts where len(w) >= {WIDTH})),
+twice as (select h from windows group by h having count(*) > 1),
+gone as (select distinct r, unnest(range(i, i + {WIDTH})) as p from windows join twice using (h)),
+removed as (select r, count(*) as n from gone group by r),
+places as (select r, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from texts),
+left_over as (select r, string_agg(word, ' ' order by p) as t from places anti join gone using (r, p) group by r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from texts left join removed using (r) left join left_over using (r)
+"""
