@@ -201,14 +201,15 @@ def _signatures(weight):
 
 
 def _vectors(weight):
-    """(text_key, the shingles' hashes, their weights) as bytes."""
+    """The shingles' hashes and their weights, as bytes, in place of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             g, count, first = shingles(b.column("text"))
             w = weight.value.of(g, count)
             cut = list(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
-            yield pa.RecordBatch.from_arrays([b.column("text_key"), pa.array([g[x:y].tobytes() for x, y in cut], pa.binary()), pa.array([w[x:y].tobytes() for x, y in cut], pa.binary())], ["text_key", "g", "w"])
+            rest = [c for c in b.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array([g[x:y].tobytes() for x, y in cut], pa.binary()), pa.array([w[x:y].tobytes() for x, y in cut], pa.binary())], [*rest, "g", "w"])
 
     return run
 
@@ -289,10 +290,13 @@ def duplicates(docs: DataFrame) -> DataFrame:
     members = kept(candidates.join(texts.select("text_key", "doc_id", "shingles"), "text_key"), "candidates")
     sizes = members.groupBy("batch").agg(F.count("*").alias("docs"), F.sum("shingles").alias("total"))
     sizes = sizes.withColumn("large", (F.col("docs") > GROUP_DOCS) | (F.col("total") > GROUP_SHINGLES))
-    # one row of each text: a null id stands for itself
-    once = rows.join(members.select("text_key", "doc_id"), (rows["text_key"] == members["text_key"]) & rows["doc_id"].eqNullSafe(members["doc_id"]), "left_semi")
-    vectors = once.select("text_key", "text").mapInArrow(_vectors(weight), "text_key binary, g binary, w binary")
-    vectors = kept(vectors.join(members, "text_key").join(sizes, "batch").select("batch", "large", "docs", "total", "text_key", "g", "w"), "vectors")
+    # one row of each text: a null id stands for itself. What goes with it is joined before the
+    # shingles are made, so that these are shuffled once, to their group. Merged at every size:
+    # the texts are shuffled by their key, however few the candidates
+    asked = members.join(sizes, "batch").select(F.col("text_key").alias("of_key"), F.col("doc_id").alias("of"), "batch", "large", "docs", "total")
+    once = rows.join(asked.hint("merge"), (F.col("text_key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("of")))
+    vectors = once.select("batch", "large", "docs", "total", "text_key", "text").mapInArrow(_vectors(weight), "batch binary, large boolean, docs long, total long, text_key binary, g binary, w binary")
+    vectors = kept(vectors, "vectors")
 
     small = _compare(vectors.where("not large").select("batch", "text_key", "g", "w", F.lit(True).alias("asks")), "batch")
     links = kept(small, "links")
