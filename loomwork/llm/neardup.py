@@ -11,7 +11,7 @@ documents are over all documents, copies included.
    pass. At most 4/3 / RARE times the mean number of shingles can, so that list may be
    broadcast; RARE grows with the mean length to keep the bound under MOST_FREQUENT.
 2. Signatures. One pass: BANDS * ROWS samples for each text. The random values of a shingle
-   in a sample come from a table of 65,536 draws, indexed by a hash of it; ties go by the hash.
+   in a sample come from a table of 16,384 draws, indexed by a hash of it; ties go by the hash.
 3. Candidates. Texts that share a band are joined to the band's least text, never to each
    other; connected components of that are groups of candidates.
 4. Verification. Shingles of the candidates' texts go to their group once. A group of up to
@@ -43,7 +43,8 @@ from loomwork.llm.text import gram_mask, grams, mix, slices, sums, words
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 5
 RARE, MOST_FREQUENT, CHUNK = 1e-3, 2_000_000, 8192
 GROUP_DOCS, GROUP_SHINGLES, LEADERS, BLOCK_DOCS = 256, 1_000_000, 64, 512
-LEVELS = 1 << 16
+LEVEL_BITS = 14
+LEVELS = 1 << LEVEL_BITS
 
 
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,7 +178,7 @@ class Sampler:
         for b in range(BANDS):
             value = np.zeros(len(some), np.uint64)
             for s in range(b * ROWS, (b + 1) * ROWS):
-                level = ((g * self.factor[s]) >> np.uint64(48)).astype(np.int64)
+                level = ((g * self.factor[s]) >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)
                 key = self.common[s][level] ^ low
                 if len(odd):
                     key[odd] = self.key(s, level[odd], odd_w, g[odd])

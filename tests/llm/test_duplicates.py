@@ -151,7 +151,7 @@ def test_samples_agree_as_often_as_texts_are_similar():
     sampler = neardup.Sampler(2.0, samples=neardup.BANDS * neardup.ROWS)
     drawn = []
     for x, y in ((g, w), (g[keep], v[keep])):
-        drawn.append([int(min((np.where(y == 2, sampler.common[s][l := ((x * sampler.factor[s]) >> np.uint64(48)).astype(int)] ^ (x & np.uint64(0xFFFFFFFF)), sampler.key(s, l, y, x)))) & np.uint64(0xFFFFFFFF)) for s in range(100)])
+        drawn.append([int(min((np.where(y == 2, sampler.common[s][l := ((x * sampler.factor[s]) >> np.uint64(64 - neardup.LEVEL_BITS)).astype(int)] ^ (x & np.uint64(0xFFFFFFFF)), sampler.key(s, l, y, x)))) & np.uint64(0xFFFFFFFF)) for s in range(100)])
     other = np.where(keep, v, 0)
     want = np.minimum(w, other).sum() / np.maximum(w, other).sum()
     assert abs(np.mean(np.array(drawn[0]) == np.array(drawn[1])) - want) < 0.15
