@@ -17,7 +17,7 @@ of a repeat are in segments of one minimizer, and these go to one shard.
    streams the segments through it: backward search over the wavelet matrix gives how far each
    window's match reaches, and with it the windows that occur twice or more. A segment that
    is there twice as a whole is repeated in all its windows without a search.
-3. A minimizer of more than HOT segments would overload its shard. Its windows are dealt
+3. A minimizer of more than HOT segments would fill a shard by itself. Its windows are dealt
    by their own hash instead and counted there, combined before the shuffle.
 4. The intervals of repeated windows come back to their text, which is cut once.
 
@@ -40,7 +40,7 @@ from loomwork.llm.common import kept, table
 from loomwork.llm.fmindex import FmIndex
 from loomwork.llm.text import gram_mask, grams, mix, slices, words
 
-WIDTH, GRAM, HOT, SHARD_WORDS = 35, 12, 1000, 1_000_000
+WIDTH, GRAM, HOT, SHARD_WORDS = 35, 12, 20_000, 250_000
 PLACE = 28  # bits for a place within a slice, in the order of minimizers
 
 
@@ -193,6 +193,8 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot:
     places = rows.select("text_key", "text").mapInArrow(_places(width, gram), "text_key binary, minimizer long, at long, again boolean")
     counts = places.groupBy("minimizer").agg(F.min("text_key").alias("a"), F.max("text_key").alias("z"), F.max("again").alias("again"), F.count("*").alias("n"))
     counts = counts.where((F.col("a") != F.col("z")) | F.col("again")).select("minimizer", (F.col("n") > hot).alias("hot"))
+    # as a table of its own, so that both sides of the join are plain shuffles and a hot minimizer's can be split
+    counts = kept(counts, "minimizers")
     live = places.join(counts, "minimizer").groupBy("text_key").agg(F.collect_set(F.struct("at", "minimizer", "hot")).alias("live"))
     live = kept(live, "live")
 
