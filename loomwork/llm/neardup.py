@@ -13,7 +13,8 @@ documents are over all documents, copies included.
 2. Signatures. One pass: BANDS * ROWS samples for each text. The random values of a shingle
    in a sample come from a table of 16,384 draws, indexed by a hash of it; ties go by the hash.
 3. Candidates. Texts that share a band are joined to the band's least text, never to each
-   other; connected components of that are groups of candidates.
+   other. Each text hangs on the least of its at most BANDS leads; the connected components
+   of the leads are groups of candidates.
 4. Verification. Shingles of the candidates' texts go to their group once. A group of up to
    GROUP_DOCS texts is compared within one task. In a larger one about LEADERS leaders are
    compared with all, in blocks; then every text outside the largest class found so far is
@@ -285,8 +286,11 @@ def duplicates(docs: DataFrame) -> DataFrame:
     texts = kept(signed.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.max("shingles").alias("shingles"), *(F.max(b).alias(b) for b in bands)), "texts")
     banded = texts.where("shingles > 0").select("text_key", F.posexplode(F.array(*bands)).alias("band", "value"))
     leads = banded.groupBy("band", "value").agg(F.min("text_key").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    candidates = components(banded.join(leads, ["band", "value"]).select(F.col("text_key").alias("a"), F.col("lead").alias("b")))
-    candidates = candidates.withColumnsRenamed({"v": "text_key", "label": "batch"})
+    stars = banded.join(leads, ["band", "value"]).groupBy("text_key").agg(F.collect_set("lead").alias("leads"))
+    stars = kept(stars.withColumn("home", F.array_min("leads")), "stars")
+    # a text hangs on the least of its leads, so that only leads are left to be connected
+    ties = components(stars.select(F.col("home").alias("a"), F.explode("leads").alias("b")))
+    candidates = stars.join(ties, F.col("home") == F.col("v"), "left").select("text_key", F.coalesce("label", "home").alias("batch"))
 
     members = kept(candidates.join(texts.select("text_key", "doc_id", "shingles"), "text_key"), "candidates")
     sizes = members.groupBy("batch").agg(F.count("*").alias("docs"), F.sum("shingles").alias("total"))
