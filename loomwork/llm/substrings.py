@@ -17,8 +17,10 @@ of a repeat are in segments of one minimizer, and these go to one shard.
    streams the segments through it: backward search over the wavelet matrix gives how far each
    window's match reaches, and with it the windows that occur twice or more. A segment that
    is there twice as a whole is repeated in all its windows without a search.
-3. A minimizer of more than HOT segments would fill a shard by itself. Its windows are dealt
-   by their own hash instead and counted there, combined before the shuffle.
+3. A minimizer of more than HOT segments would fill a shard by itself. Its segments are counted
+   by their content instead, combined before the shuffle: one that is there twice is repeated
+   in all its windows. The windows of one segment of each content are then dealt by their own
+   hash and counted.
 4. The intervals of repeated windows come back to their text, which is cut once.
 
 Copies of a text are handled once: copies of WIDTH words or more are removed whole. Null
@@ -40,7 +42,7 @@ from loomwork.llm.common import kept, table
 from loomwork.llm.fmindex import FmIndex
 from loomwork.llm.text import gram_mask, grams, mix, slices, words
 
-WIDTH, GRAM, HOT, SHARD_WORDS = 35, 12, 20_000, 250_000
+WIDTH, GRAM, HOT, SHARD_WORDS = 35, 12, 1000, 250_000
 PLACE = 28  # bits for a place within a slice, in the order of minimizers
 
 
@@ -93,7 +95,7 @@ def _flat(column: pa.Array, field: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contents(width: int):
-    """Words of live segments for their shard (hot = false), or the hash of each window (hot = true)."""
+    """Live segments: the words for their shard (hot = false), or a hash of the content and one of each window (hot = true)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -106,15 +108,19 @@ def _contents(width: int):
             cold = np.flatnonzero(~hot)
             cut = [raw[x : x + n + width - 1].tobytes() for x, n in zip(start[cold].tolist(), count[cold].tolist(), strict=True)]
             n = count[hot]
-            begin = np.repeat(start[hot] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            of = np.repeat(row[hot], n)
-            value = h[begin] if len(begin) else np.zeros(0, np.uint64)
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            begin = np.repeat(start[hot], n) + step
+            value = h[begin]
             for j in range(1, width if len(begin) else 1):
                 value = mix(value * np.uint64(0x9E3779B97F4A7C15) + h[begin + j])
-            keys = b.column("text_key")
+            total = np.append(np.uint64(0), np.cumsum(mix(value + step.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64))
+            ends = np.cumsum(n)
+            whole = mix(total[ends] - total[ends - n] + n.astype(np.uint64))
+            windows = pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(len(cold) + 1), ends]).astype(np.int32)), pa.array(value.view(np.int64)))
+            order = np.concatenate([cold, np.flatnonzero(hot)])
             yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([keys.take(pa.array(row[cold])), keys.take(pa.array(of))]), pa.array(np.concatenate([minimizer[cold], value.view(np.int64)])), pa.array(np.concatenate([at[cold], (begin - w.first[of]) * 256 + 1])), pa.array(np.arange(len(cold) + len(of)) >= len(cold)), pa.array([*cut, *[None] * len(of)], pa.binary())],
-                ["text_key", "key", "at", "hot", "words"],
+                [b.column("text_key").take(pa.array(row[order])), pa.array(np.concatenate([minimizer[cold], whole.view(np.int64)])), pa.array(at[order]), pa.array(hot[order]), pa.array([*cut, *[None] * len(n)], pa.binary()), windows],
+                ["text_key", "key", "at", "hot", "words", "windows"],
             )
 
     return run
@@ -152,6 +158,17 @@ def _search(width: int):
     return run
 
 
+def _counted(segments: DataFrame) -> DataFrame:
+    """(text_key, at, mask) of segments(text_key, key, at, windows) with repeated windows, by counting."""
+    bits = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n)
+    contents = kept(segments.groupBy("key").agg(F.count("*").alias("n"), F.first("windows").alias("windows")), "contents")
+    each = contents.select("key", "n", F.posexplode("windows").alias("place", "window"))
+    twice = kept(each.groupBy("window").agg(F.count("*").alias("times")).where("times > 1").select("window"), "twice")
+    some = each.where("n = 1").join(twice, "window").groupBy("key").agg(F.bit_or(bits(F.col("place"))).alias("mask"))
+    masks = kept(contents.where("n > 1").select("key", (bits(F.size("windows")) - 1).alias("mask")).union(some), "masks")
+    return segments.join(masks, "key").select("text_key", "at", "mask")
+
+
 def _cut(width: int):
     """(text_key, n_words, n_removed, kept_sha256) of each text."""
 
@@ -200,13 +217,11 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot:
 
     # both uses of the texts share one shuffle
     texts = rows.groupBy("text_key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    contents = texts.join(live, "text_key").select("text_key", "text", "live").mapInArrow(_contents(width), "text_key binary, key long, at long, hot boolean, words binary")
+    contents = texts.join(live, "text_key").select("text_key", "text", "live").mapInArrow(_contents(width), "text_key binary, key long, at long, hot boolean, words binary, windows array<long>")
     cold = contents.where("not hot").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
     found = cold.select("shard", "text_key", "at", "words").groupBy("shard").applyInArrow(_search(width), "text_key binary, at long, mask long")
     if live.where(F.exists("live", lambda x: x["hot"])).limit(1).count():
-        windows = contents.where("hot").select("text_key", "key", "at")
-        twice = windows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        found = found.union(windows.join(twice, "key").select("text_key", "at", F.lit(1).cast("long").alias("mask")))
+        found = found.union(_counted(kept(contents.where("hot").select("text_key", "key", "at", "windows"), "hot")))
     found = found.groupBy("text_key").agg(F.collect_list(F.struct("at", "mask")).alias("found"))
     results = texts.join(found, "text_key", "left").select("text_key", "text", "copies", "found").mapInArrow(_cut(width), "text_key binary, n_words long, n_removed long, kept_sha256 string")
     results = kept(results, "cut")
