@@ -4,11 +4,11 @@ A document is contaminated by an item if some window with as many words as the i
 weighted Jaccard similarity of five-word shingles with it of 0.8 or more. Words are runs
 of letters and digits, lower-cased. A shingle weighs its count times its letters.
 
-1. Anchors. Five-word shingles of all texts are joined with the items' shingles. A window
-   that is similar enough shares at least 0.8 of the item's weight with the text, so texts
-   whose shared shingles weigh less are left out, and every other window begins where some
-   shared shingle, less its place in the item, says. No similar window is lost: with two
-   alignments in one window, each of them is tried.
+1. Windows. Five-word shingles of all texts are joined with the items' shingles. A window
+   that is similar enough shares at least 0.8 of the item's weight. What it can share is at
+   most the letters of the item's shingles at its places, repeats counted; a running sum
+   over these places gives that for every start in the text. Every window for which it
+   and the window's own weight allow 0.8 is taken, whether or not it lines up with the item.
 2. Fingerprints. The signs of 64 weighted sums over shingle hashes, for items and windows.
 3. Multi-index. Two fingerprints within RADIUS bits agree on at least one of RADIUS + 1
    blocks of bits, so joining on (words, block, value) finds all of them.
@@ -25,7 +25,7 @@ text's rows. An empty table on either side gives an empty table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import kept, table
@@ -50,6 +50,13 @@ def weighted(w: Column) -> Column:
     return F.map_from_entries(F.transform(F.array_distinct(s), lambda x: F.struct(x, weight(x))))
 
 
+def weight_of(w: Column) -> Column:
+    """Sum of the weights: a word's letters count in each shingle that holds it, up to five."""
+    n = F.size(w)
+    held = lambda x, i: F.length(x) * F.least(F.lit(WIDTH), i + 1, n - i, n - (WIDTH - 1))
+    return F.aggregate(F.transform(w, held), F.lit(0.0), lambda acc, x: acc + x)
+
+
 def fingerprint(shingles: Column) -> Column:
     """SimHash: each bit is the sign of its weighted sum."""
     hashed = F.transform(F.map_entries(shingles), lambda e: F.struct(F.xxhash64(e["key"]).alias("h"), e["value"].alias("w")))
@@ -80,24 +87,39 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") >= WIDTH).select("item_id", "w", F.size("w").alias("n_words"), weighted(F.col("w")).alias("item"))
     items = kept(items.withColumn("item_print", fingerprint(F.col("item"))), "items").withColumn("item_key", F.xxhash64("item_id", "w"))
     spots = items.select("item_key", "n_words", F.posexplode(shingle_hashes(F.col("w"))).alias("at", "shingle"), "w", F.aggregate(F.map_values("item"), F.lit(0.0), lambda a, x: a + x).alias("whole"), "item")
-    # each shingle's weight stands at the first of its places, so that a text's share isn't counted twice
+    # each shingle once, with its weight in the item and the letters of one place of it
     name = F.array_join(F.slice("w", F.col("at") + 1, WIDTH), " ")
-    spots = kept(spots.select("item_key", "n_words", "at", "shingle", "whole", F.element_at("item", name).alias("weight")), "spots")
+    spots = spots.select("item_key", "n_words", "shingle", "whole", F.element_at("item", name).alias("weight"), (F.length(name) - (WIDTH - 1)).cast("double").alias("letters"))
+    spots = kept(spots.dropDuplicates(["item_key", "shingle"]), "spots")
     few = spots.count() <= MOST_SHINGLES
     small = (lambda df: F.broadcast(df)) if few else (lambda df: df)
 
     rows = docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_key"), "text")
     shingled = rows.select("text_key", words(F.col("text")).alias("w")).select("text_key", F.posexplode(shingle_hashes(F.col("w"))).alias("place", "shingle"))
     found = shingled.join(small(spots), "shingle")
-    starts = found.groupBy("text_key", "item_key", "n_words", "whole", "shingle").agg(F.max("weight").alias("weight"), F.collect_set(F.greatest(F.lit(0), F.col("place") - F.col("at"))).alias("starts"))
-    starts = starts.groupBy("text_key", "item_key", "n_words", "whole").agg(F.sum("weight").alias("shared"), F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
-    starts = kept(starts.where(F.col("shared") >= F.lit(THRESHOLD - 1e-9) * F.col("whole")).select("text_key", "n_words", "starts").groupBy("text_key").agg(F.array_distinct(F.flatten(F.collect_list(F.transform("starts", lambda s: F.struct(F.col("n_words"), s.alias("start")))))).alias("windows")), "windows")
-
-    # windows are of fixed size, so their number bounds what is broadcast
-    light = (starts.agg(F.sum(F.size("windows"))).first()[0] or 0) <= MOST_WINDOWS
+    found = found.groupBy("text_key", "item_key", "n_words", "whole", "shingle").agg(F.max("weight").alias("weight"), F.max("letters").alias("letters"), F.collect_set("place").alias("places"))
+    found = found.groupBy("text_key", "item_key").agg(F.max("n_words").alias("n_words"), F.max("whole").alias("whole"), F.sum("weight").alias("shared"), F.collect_list(F.struct("letters", "places")).alias("parts"))
+    found = found.where(F.col("shared") >= F.lit(THRESHOLD - 1e-9) * F.col("whole")).select("text_key", "item_key", "n_words", "whole", F.explode("parts").alias("part"))
+    found = found.select("text_key", "item_key", "n_words", "whole", F.col("part.letters").alias("letters"), F.explode("part.places").alias("place"))
+
+    # a place counts from the first window that holds it to the last: between two such starts the sum stays the same
+    begin, end = F.struct((F.col("place") - F.col("n_words") + WIDTH).alias("start"), F.col("letters").alias("more")), F.struct((F.col("place") + 1).alias("start"), (-F.col("letters")).alias("more"))
+    steps = found.select("text_key", "item_key", "n_words", "whole", F.explode(F.array(begin, end)).alias("step")).select("text_key", "item_key", "n_words", "whole", "step.*")
+    along = Window.partitionBy("text_key", "item_key").orderBy("start")
+    steps = steps.withColumn("shared", F.sum("more").over(along.rangeBetween(Window.unboundedPreceding, 0))).withColumn("next", F.lead("start").over(along))
+    steps = steps.where((F.col("shared") >= F.lit(THRESHOLD - 1e-9) * F.col("whole")) & (F.col("next") > F.greatest(F.lit(0), F.col("start"))))
+    starts = steps.withColumn("start", F.explode(F.sequence(F.greatest(F.lit(0), F.col("start")), F.col("next") - 1)))
+    starts = starts.groupBy("text_key", "start", "n_words").agg(F.collect_list(F.struct("item_key", "whole", "shared")).alias("items"))
+    starts = kept(starts.groupBy("text_key").agg(F.collect_list(F.struct("n_words", "start", "items")).alias("windows")), "windows")
+
+    # each entry is of fixed size, so their number bounds what is broadcast
+    entries = F.aggregate("windows", F.lit(0), lambda n, x: n + F.size(x["items"]))
+    light = (starts.agg(F.sum(entries)).first()[0] or 0) <= MOST_WINDOWS
     texts = rows.join(F.broadcast(starts) if light else starts, "text_key").dropDuplicates(["text_key"])
-    windows = texts.select("text_key", words(F.col("text")).alias("w"), F.explode("windows").alias("at")).select("text_key", F.col("at.start").alias("start"), F.col("at.n_words").alias("n_words"), F.slice("w", F.col("at.start") + 1, F.col("at.n_words")).alias("w"))
-    windows = windows.where(F.size("w") >= WIDTH).withColumn("window", weighted(F.col("w"))).drop("w")
+    windows = texts.select("text_key", words(F.col("text")).alias("w"), F.explode("windows").alias("at")).select("text_key", F.col("at.start").alias("start"), F.col("at.n_words").alias("n_words"), "at.items", F.slice("w", F.col("at.start") + 1, F.col("at.n_words")).alias("w"))
+    possible = lambda x: F.col("own") + x["whole"] - x["shared"] <= x["shared"] / (THRESHOLD - 1e-9)
+    windows = windows.where(F.size("w") >= WIDTH).withColumn("own", weight_of(F.col("w"))).withColumn("items", F.filter("items", possible)).where(F.size("items") > 0)
+    windows = windows.withColumn("window", weighted(F.col("w"))).drop("w", "own")
     windows = kept(windows.withColumn("print", fingerprint(F.col("window"))), "prints")
 
     indexed = items.select("item_id", "item_key", "n_words", "item_print", blocks(F.col("item_print")).alias("part")).select("item_key", "n_words", "item_print", "part.*")

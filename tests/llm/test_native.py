@@ -2,6 +2,7 @@
 
 import collections
 import math
+import random
 import re
 
 import duckdb
@@ -123,6 +124,25 @@ def test_leaks_against_plain_python(frame, prose, items):
     assert stays.dtypes == df.dtypes and sorted((r.doc_id for r in stays.collect()), key=str) == sorted((i for i in ids if i not in bad), key=str)
 
 
+def test_windows_between_two_alignments(spark, frame, prose):
+    texts, listed = [], []
+    for seed in (192, 1066, 1462, 1842, 1981, 2260, 2281, 2386):  # only a start between those of the two halves reaches 0.8
+        rng = random.Random(seed)
+        n, more = rng.choice([60, 80]), rng.choice([3, 4, 5])
+        w = prose(n, 10_000 + seed).split()
+        cut = rng.randint(n // 4, 3 * n // 4)
+        listed.append((seed, " ".join(w)))
+        texts += [" ".join(w[:cut] + prose(more, 20_000 + seed).split() + w[cut:]), " ".join([prose(7, seed), *w[:cut], prose(more, 20_000 + seed), *w[cut:], prose(9, seed)]), " ".join([prose(3, seed), *w[2:]])]
+    want = leaked(list(enumerate(texts)), listed)
+    assert len(want) == len(texts)
+    got = decontamination.contaminated(frame(texts), spark.createDataFrame(listed, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    for r in got:
+        a, b = weigh(norm(texts[r.doc_id])[r.start : r.start + r.n_words]), weigh(norm(dict(listed)[r.item_id]))
+        both = sum(min(x, b.get(k, 0)) for k, x in a.items())
+        assert abs(r.similarity - both / (sum(a.values()) + sum(b.values()) - both)) < 1e-9
+
+
 def test_shuffled_way_gives_the_same(frame, items, monkeypatch):
     df = frame([t for _, t in items[1]])
     a = sorted(map(tuple, decontamination.contaminated(df, items[0]).collect()), key=str)
