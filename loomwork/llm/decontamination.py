@@ -9,12 +9,17 @@ of letters and digits, lower-cased. A shingle weighs its count times its letters
    most the letters of the item's shingles at its places, repeats counted; a running sum
    over these places gives that for every start in the text. Every window for which it
    and the window's own weight allow 0.8 is taken, whether or not it lines up with the item.
-2. Fingerprints. The signs of 64 weighted sums over shingle hashes, for items and windows.
+2. Fingerprints. The signs of 64 sums over shingle hashes, each times the square root of its
+   weight, for items and windows. With these roots the cosine is at least 8/9 at similarity 0.8,
+   whatever the weights.
 3. Multi-index. Two fingerprints within RADIUS bits agree on at least one of RADIUS + 1
-   blocks of bits, so joining on (words, block, value) finds all of them.
+   blocks of bits, so joining on (words, block, value) finds all of them. Signs follow the cosine
+   only while no shingle dominates the sums: a window and item of which one has a shingle of more
+   than HEAVY of its weight go to verification without regard to the radius.
 4. Verification. Exact weighted Jaccard similarity, on the words themselves.
 
-RADIUS is 4 standard deviations beyond the expected distance at similarity 0.8 or so.
+RADIUS is 5 standard deviations beyond the expected distance at a cosine of 8/9. A window of
+exactly 0.8 is beyond it about 3 times in a million; other windows of the text may still be found.
 
 Copies of a text are handled once. Items are broadcast only up to MOST_SHINGLES shingles
 of the benchmark, counted first, and shuffled beyond. Items and texts of fewer than five
@@ -30,7 +35,7 @@ from pyspark.sql import functions as F
 
 from loomwork.llm.common import kept, table
 
-WIDTH, THRESHOLD, BITS, RADIUS = 5, 0.8, 64, 24
+WIDTH, THRESHOLD, BITS, RADIUS, HEAVY = 5, 0.8, 64, 24, 1 / 8
 MOST_SHINGLES, MOST_WINDOWS = 500_000, 500_000
 
 
@@ -58,8 +63,8 @@ def weight_of(w: Column) -> Column:
 
 
 def fingerprint(shingles: Column) -> Column:
-    """SimHash: each bit is the sign of its weighted sum."""
-    hashed = F.transform(F.map_entries(shingles), lambda e: F.struct(F.xxhash64(e["key"]).alias("h"), e["value"].alias("w")))
+    """SimHash: each bit is the sign of its sum. A shingle counts by the root of its weight."""
+    hashed = F.transform(F.map_entries(shingles), lambda e: F.struct(F.xxhash64(e["key"]).alias("h"), F.sqrt(e["value"]).alias("w")))
 
     def bit(b: Column) -> Column:
         total = F.aggregate(hashed, F.lit(0.0), lambda acc, x: acc + x["w"] * (2 * F.getbit(x["h"], b).cast("double") - 1))
@@ -75,6 +80,12 @@ def blocks(value: Column) -> Column:
     return F.explode(F.array(*parts))
 
 
+def uneven(shingles: Column) -> Column:
+    """Whether a single shingle has so much of the weight that the radius may be too small."""
+    values = F.map_values(shingles)
+    return F.array_max(values) > HEAVY * F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Weighted Jaccard of two maps."""
     total = lambda m: F.aggregate(F.map_values(m), F.lit(0.0), lambda acc, x: acc + x)
@@ -85,7 +96,7 @@ def similarity(a: Column, b: Column) -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(text_key, item_id, start, n_words, hamming, similarity): the best window of each text and item."""
     items = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") >= WIDTH).select("item_id", "w", F.size("w").alias("n_words"), weighted(F.col("w")).alias("item"))
-    items = kept(items.withColumn("item_print", fingerprint(F.col("item"))), "items").withColumn("item_key", F.xxhash64("item_id", "w"))
+    items = kept(items.withColumn("item_print", fingerprint(F.col("item"))).withColumn("uneven", uneven(F.col("item"))), "items").withColumn("item_key", F.xxhash64("item_id", "w"))
     spots = items.select("item_key", "n_words", F.posexplode(shingle_hashes(F.col("w"))).alias("at", "shingle"), "w", F.aggregate(F.map_values("item"), F.lit(0.0), lambda a, x: a + x).alias("whole"), "item")
     # each shingle once, with its weight in the item and the letters of one place of it
     name = F.array_join(F.slice("w", F.col("at") + 1, WIDTH), " ")
@@ -116,16 +127,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     entries = F.aggregate("windows", F.lit(0), lambda n, x: n + F.size(x["items"]))
     light = (starts.agg(F.sum(entries)).first()[0] or 0) <= MOST_WINDOWS
     texts = rows.join(F.broadcast(starts) if light else starts, "text_key").dropDuplicates(["text_key"])
-    windows = texts.select("text_key", words(F.col("text")).alias("w"), F.explode("windows").alias("at")).select("text_key", F.col("at.start").alias("start"), F.col("at.n_words").alias("n_words"), "at.items", F.slice("w", F.col("at.start") + 1, F.col("at.n_words")).alias("w"))
+    # a text is split once, and its windows are written, as the optimizer would repeat the splitting for each use of w
+    windows = texts.select("text_key", words(F.col("text")).alias("w"), "windows").select("text_key", "w", F.explode("windows").alias("at")).select("text_key", F.col("at.start").alias("start"), F.col("at.n_words").alias("n_words"), "at.items", F.slice("w", F.col("at.start") + 1, F.col("at.n_words")).alias("w"))
     possible = lambda x: F.col("own") + x["whole"] - x["shared"] <= x["shared"] / (THRESHOLD - 1e-9)
-    windows = windows.where(F.size("w") >= WIDTH).withColumn("own", weight_of(F.col("w"))).withColumn("items", F.filter("items", possible)).where(F.size("items") > 0)
+    windows = kept(windows.where(F.size("w") >= WIDTH), "slices").withColumn("own", weight_of(F.col("w"))).withColumn("items", F.filter("items", possible)).where(F.size("items") > 0)
     windows = windows.withColumn("window", weighted(F.col("w"))).drop("w", "own")
     windows = kept(windows.withColumn("print", fingerprint(F.col("window"))), "prints")
 
     indexed = items.select("item_id", "item_key", "n_words", "item_print", blocks(F.col("item_print")).alias("part")).select("item_key", "n_words", "item_print", "part.*")
     near = windows.select("text_key", "start", "n_words", "print", blocks(F.col("print")).alias("part")).select("text_key", "start", "n_words", "print", "part.*").join(small(indexed), ["n_words", "block", "bits"])
     near = near.withColumn("hamming", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))).where(F.col("hamming") <= RADIUS)
-    near = near.select("text_key", "start", "n_words", "item_key", "hamming").distinct()
+    near = near.select("text_key", "start", "n_words", "item_key", "hamming")
+    heavy = windows.select("text_key", "start", "n_words", "print", uneven(F.col("window")).alias("uneven"), F.explode("items.item_key").alias("item_key"))
+    heavy = heavy.join(small(items.select("item_key", "item_print", F.col("uneven").alias("by_item"))), "item_key").where(F.col("uneven") | F.col("by_item"))
+    heavy = heavy.select("text_key", "start", "n_words", "item_key", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))).alias("hamming"))
+    near = near.union(heavy).distinct()
     pairs = near.join(windows.select("text_key", "start", "n_words", "window"), ["text_key", "start", "n_words"]).join(small(items.select("item_key", "item_id", "item")), "item_key")
     pairs = pairs.withColumn("similarity", similarity(F.col("window"), F.col("item"))).where(F.col("similarity") >= THRESHOLD - 1e-9)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("s"), (-F.col("hamming")).alias("h"), "n_words")).alias("b")

@@ -143,6 +143,20 @@ def test_windows_between_two_alignments(spark, frame, prose):
         assert abs(r.similarity - both / (sum(a.values()) + sum(b.values()) - both)) < 1e-9
 
 
+def test_long_tokens_do_not_hide_a_leak(spark, frame, prose):
+    texts, listed = [], []
+    for i in range(60):
+        rng = random.Random(700 + i)
+        w = prose(rng.randint(40, 59), 30_000 + i).split()
+        key = "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([100, 130, 160])))
+        listed.append((i, " ".join([*w, key] if i % 3 == 0 else w)))
+        texts.append(" ".join(["xx", *prose(4, i).split(), *w[5:], key] if i % 3 == 0 else [*w[:-1], key]))
+    want = leaked(list(enumerate(texts)), listed)
+    assert len(want) > 30
+    got = decontamination.contaminated(frame(texts), spark.createDataFrame(listed, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+
+
 def test_shuffled_way_gives_the_same(frame, items, monkeypatch):
     df = frame([t for _, t in items[1]])
     a = sorted(map(tuple, decontamination.contaminated(df, items[0]).collect()), key=str)
