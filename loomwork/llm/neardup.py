@@ -8,8 +8,8 @@ documents are over all documents, copies included.
 1. Frequent shingles. By the pigeonhole principle a shingle that reaches RARE * N documents
    stands out in some chunk. Each chunk reports its counts less an allowance of a quarter of
    RARE times its documents; what can still reach RARE * N is counted exactly in a second
-   pass. At most 4/3 / RARE times the mean number of shingles can, so that list may be
-   broadcast; RARE grows with the mean length to keep the bound under MOST_FREQUENT.
+   pass. At most 4/3 / RARE times the mean number of shingles can, so that list is
+   broadcast: it doesn't grow with the number of documents, but does with their mean length.
 2. Signatures. One pass: BANDS * ROWS samples for each text. The random values of a shingle
    in a sample come from a table of 16,384 draws, indexed by a hash of it; ties go by the hash.
 3. Candidates. Texts that share a band are joined to the band's least text, never to each
@@ -42,7 +42,7 @@ from loomwork.llm.graph import components
 from loomwork.llm.text import gram_mask, grams, mix, slices, sums, words
 
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 5
-RARE, MOST_FREQUENT, CHUNK = 1e-3, 2_000_000, 8192
+RARE, CHUNK = 1e-3, 8192
 GROUP_DOCS, GROUP_SHINGLES, LEADERS, BLOCK_DOCS = 256, 1_000_000, 64, 512
 LEVEL_BITS = 14
 LEVELS = 1 << LEVEL_BITS
@@ -126,9 +126,7 @@ class Weights:
 
 def weights(docs: DataFrame) -> Weights:
     """Two passes over all texts."""
-    size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    n, mean = size[0], size[1] / 4 / max(1, size[0])
-    rare = max(RARE, mean * 4 / 3 / MOST_FREQUENT)
+    n, rare = docs.count(), RARE
     spark = docs.sparkSession
     few = max(spark.sparkContext.defaultParallelism, n // CHUNK)  # full chunks where files are small
     stand = docs.select("text").coalesce(few).mapInArrow(_stand_out(rare), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))

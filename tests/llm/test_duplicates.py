@@ -165,6 +165,11 @@ def test_frequent_shingles_are_counted_exactly(frame, prose, monkeypatch):
     assert len(w.keys) == 26 and np.allclose(w.weight, 1 + math.log(3) / math.log(10))
 
 
+def test_long_texts_have_the_same_weights(frame, prose):
+    w = neardup.weights(frame([prose(2000, i) for i in range(20)]))
+    assert abs(w.other - (1 + math.log(20) / math.log(1 / neardup.RARE))) < 1e-9
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 200 + i) for i in range(50)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)] + [(7, 7)]
