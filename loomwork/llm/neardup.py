@@ -5,11 +5,13 @@ count in the text times 1 + min(1, ln(N / df) / ln(1 / RARE)): shingles in fewer
 share RARE of all N documents weigh 2, more frequent ones less, down to 1. Counts of
 documents are over all documents, copies included.
 
-1. Frequent shingles. By the pigeonhole principle a shingle that reaches RARE * N documents
-   stands out in some chunk. Each chunk reports its counts less an allowance of a quarter of
-   RARE times its documents; what can still reach RARE * N is counted exactly in a second
-   pass. At most 4/3 / RARE times the mean number of shingles can, so that list is
-   broadcast: it doesn't grow with the number of documents, but does with their mean length.
+1. Frequent shingles. Each partition of CHUNK documents or more counts its shingles lossily: counts
+   within an allowance of a quarter of RARE times its documents are forgotten as it goes, and as
+   much again is left off in the end. Allowances are rounded so that over all partitions they come to
+   half of RARE * N and 2 at most. So a partition reports the few shingles that stand out in it, and
+   what can still reach RARE * N is counted exactly in a second pass. At most 2 / RARE
+   times the mean number of shingles can, so that list is broadcast: it doesn't grow with the
+   number of documents, but does with their mean length.
 2. Signatures. One pass: BANDS * ROWS samples for each text. The random values of a shingle
    in a sample come from a table of 16,384 draws, indexed by a hash of it; ties go by the hash.
 3. Candidates. Texts that share a band are joined to the band's least text, never to each
@@ -34,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +45,7 @@ from loomwork.llm.graph import components
 from loomwork.llm.text import gram_mask, grams, mix, slices, sums, words
 
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 5
-RARE, CHUNK = 1e-3, 8192
+RARE, CHUNK, RUN = 1e-3, 8192, 500_000
 GROUP_DOCS, GROUP_SHINGLES, LEADERS, BLOCK_DOCS = 256, 1_000_000, 64, 512
 LEVEL_BITS = 14
 LEVELS = 1 << LEVEL_BITS
@@ -71,24 +74,63 @@ def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 # -- frequent shingles -----------------------------------------------------------------
 
 
-def _stand_out(rare: float):
-    """Chunk by chunk: (shingle, count less the allowance), where positive."""
+class Tally:
+    """Counts of keys in a stream of documents, by lossy counting: what is within its allowance so far is forgotten.
 
-    def report(parts: list, docs: int) -> pa.RecordBatch:
-        keys, n = np.unique(np.concatenate(parts), return_counts=True)
-        n = n - int(rare * docs / 4)
-        return pa.RecordBatch.from_arrays([pa.array(keys[n > 0].view(np.int64)), pa.array(n[n > 0].astype(np.int64))], ["shingle", "n"])
+    A key's allowance is how far floor(x + u) has moved since the stream began, where x grows by `share`
+    with each document and u, of [0, 1), is given by the key. If one stream begins with the x at which
+    another ends, the allowances of all streams come to share * documents + 1 at most, however
+    few documents each of them has.
+    """
+
+    def __init__(self, share: float, docs_before: int):
+        self.share, self.begin, self.docs, self.settled = share, share * docs_before, 0, 0
+        self.keys, self.n, self.missed = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.parts, self.size = [], 0
+
+    def allowance(self, keys: np.ndarray, docs: int) -> np.ndarray:
+        u = (keys >> np.uint64(11)).astype(float) / float(1 << 53)
+        return (np.floor(self.begin + self.share * docs + u) - np.floor(self.begin + u)).astype(np.int64)
+
+    def add(self, keys: np.ndarray, docs: int) -> None:
+        self.parts.append(keys)
+        self.size, self.docs = self.size + len(keys), self.docs + docs
+
+    def settle(self) -> None:
+        """Counts what came since the last time. What is new may have been forgotten before, up to its allowance then."""
+        keys, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.parts]), return_counts=True)
+        self.parts, self.size = [], 0
+        i = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        known = self.keys[i] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        self.n[i[known]] += n[known]
+        keys, n = keys[~known], n[~known]
+        missed = np.concatenate([self.missed, self.allowance(keys, self.settled)])
+        keys, n, self.settled = np.concatenate([self.keys, keys]), np.concatenate([self.n, n]), self.docs
+        stay = np.flatnonzero(n + missed > self.allowance(keys, self.docs))
+        stay = stay[np.argsort(keys[stay])]
+        self.keys, self.n, self.missed = keys[stay], n[stay], missed[stay]
+
+    def report(self, less: bool) -> pa.RecordBatch:
+        """The counts, less the allowance once more or as they are, and nothing left here."""
+        n = self.n - self.allowance(self.keys, self.docs) if less else self.n
+        out = pa.RecordBatch.from_arrays([pa.array(self.keys[n > 0].view(np.int64)), pa.array(n[n > 0])], ["shingle", "n"])
+        self.keys, self.n, self.missed = self.keys[:0], self.n[:0], self.missed[:0]
+        return out
+
+
+def _stand_out(share: float, before):
+    """(shingle, n) of each partition: n is short of the true count by twice the allowance at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, docs, size = [], 0, 0
+        tally = Tally(share, before.value.get(TaskContext.get().partitionId(), 0))
         for b in slices(batches):
-            parts.append(shingles(b.column("text"))[0])
-            docs, size = docs + b.num_rows, size + len(parts[-1])
-            if docs >= CHUNK or size >= 4_000_000:
-                yield report(parts, docs)
-                parts, docs, size = [], 0, 0
-        if parts:
-            yield report(parts, docs)
+            tally.add(shingles(b.column("text"))[0], b.num_rows)
+            if tally.size >= RUN:
+                tally.settle()
+            if len(tally.keys) >= 4 * RUN:  # of very long texts: reported in full, so memory stays bounded
+                yield tally.report(False)
+        tally.settle()
+        yield tally.report(True)
 
     return run
 
@@ -125,12 +167,16 @@ class Weights:
 
 
 def weights(docs: DataFrame) -> Weights:
-    """Two passes over all texts."""
-    n, rare = docs.count(), RARE
-    spark = docs.sparkSession
-    few = max(spark.sparkContext.defaultParallelism, n // CHUNK)  # full chunks where files are small
-    stand = docs.select("text").coalesce(few).mapInArrow(_stand_out(rare), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    need = max(2, math.ceil(0.75 * rare * n))
+    """Two passes over all texts, and one that counts the rows of each partition."""
+    spark, rare = docs.sparkSession, RARE
+    n = docs.count()
+    texts = docs.select("text").coalesce(max(1, n // CHUNK))
+    sizes = dict(texts.groupBy(F.spark_partition_id().alias("part")).count().toArrow().to_pandas().itertuples(index=False, name=None))
+    before = {p: sum(v for q, v in sizes.items() if q < p) for p in sizes}
+    # of so few documents that fewer than 8 make a shingle frequent, all counts are exact
+    share = rare / 4 if rare * n >= 8 else 0.0
+    need = max(2, math.ceil((rare - 2 * share) * n) - 2)
+    stand = texts.mapInArrow(_stand_out(share, spark.sparkContext.broadcast(before)), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     near = stand.where(F.col("n") >= need).select("shingle").toArrow()["shingle"].to_numpy()
     if not len(near):
         return Weights(np.zeros(0, np.uint64), np.zeros(0), n, rare)
@@ -293,11 +339,10 @@ def duplicates(docs: DataFrame) -> DataFrame:
     members = kept(candidates.join(texts.select("text_key", "doc_id", "shingles"), "text_key"), "candidates")
     sizes = members.groupBy("batch").agg(F.count("*").alias("docs"), F.sum("shingles").alias("total"))
     sizes = sizes.withColumn("large", (F.col("docs") > GROUP_DOCS) | (F.col("total") > GROUP_SHINGLES))
-    # one row of each text: a null id stands for itself. What goes with it is joined before the
-    # shingles are made, so that these are shuffled once, to their group. Merged at every size:
-    # the texts are shuffled by their key, however few the candidates
-    asked = members.join(sizes, "batch").select(F.col("text_key").alias("of_key"), F.col("doc_id").alias("of"), "batch", "large", "docs", "total")
-    once = rows.join(asked.hint("merge"), (F.col("text_key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("of")))
+    # one row of each text, combined before the shuffle. What goes with it is joined before the shingles
+    # are made, so that these are shuffled once, to their group
+    asked = members.join(sizes, "batch").select("text_key", "batch", "large", "docs", "total")
+    once = rows.groupBy("text_key").agg(F.first("text").alias("text")).join(asked.hint("merge"), "text_key")
     vectors = once.select("batch", "large", "docs", "total", "text_key", "text").mapInArrow(_vectors(weight), "batch binary, large boolean, docs long, total long, text_key binary, g binary, w binary")
     vectors = kept(vectors, "vectors")
 

@@ -165,6 +165,32 @@ def test_frequent_shingles_are_counted_exactly(frame, prose, monkeypatch):
     assert len(w.keys) == 26 and np.allclose(w.weight, 1 + math.log(3) / math.log(10))
 
 
+@pytest.mark.parametrize("streams", [1, 7, 40])
+def test_lossy_counts_are_short_by_their_allowance_at_most(streams):
+    """Over streams of very different lengths, and the few keys that are reported are those that stand out."""
+    rng = np.random.default_rng(streams)
+    n, share = 6000, 0.005
+    keys = np.sort(rng.integers(1, 1 << 63, 30_000, dtype=np.uint64) << np.uint64(1))
+    often = rng.random(30_000) ** 40
+    docs = [keys[rng.random(30_000) < often / 4 + 0.0002] for _ in range(n)]
+    cuts = np.sort(np.concatenate([[0, n], rng.integers(0, n, streams - 1)]))
+    said, reported = collections.Counter(), 0
+    for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        tally = neardup.Tally(share, a)
+        for i in range(a, z):
+            tally.add(docs[i], 1)
+            if tally.size > 500:
+                tally.settle()
+        tally.settle()
+        out = tally.report(True)
+        reported += out.num_rows
+        said.update(dict(zip(out["shingle"].to_numpy().view(np.uint64).tolist(), out["n"].to_pylist(), strict=True)))
+    true = collections.Counter(x for d in docs for x in d.tolist())
+    for k, v in true.items():
+        assert said[k] <= v <= said[k] + 2 * (share * n + 1)
+    assert reported < sum(true.values()) / 4
+
+
 def test_long_texts_have_the_same_weights(frame, prose):
     w = neardup.weights(frame([prose(2000, i) for i in range(20)]))
     assert abs(w.other - (1 + math.log(20) / math.log(1 / neardup.RARE))) < 1e-9
