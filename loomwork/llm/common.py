@@ -42,13 +42,17 @@ def remainder(doc_id: Column | str, n: int) -> Column:
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % n, F.lit(-1))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, usable: Column, bound: int) -> DataFrame:
-    """(doc_id, text, label) of at most about `bound` labelled documents, drawn by a hash of the id.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, usable: Column, most: int, most_bytes: int = 1 << 26) -> DataFrame:
+    """(doc_id, text, label) of at most about `most` labelled documents and `most_bytes` of text, drawn by a hash of the id.
 
-    The bound is what makes the broadcast of the drawn ids safe. A document with
+    The first bound is what makes the broadcast of the drawn ids safe. A document with
     several labels takes the largest; null labels and ids are left out.
     """
+    share = lambda bound, found: int(min(1.0, bound / max(1, found)) * (1 << 20))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20))
     rows = labels.where(usable & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    share = min(1.0, bound / max(1, rows.count()))
-    rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
+    drawn = share(most, rows.count())
+    rows = rows.where(draw < drawn)
+    found = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
+    size = found.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return found if size <= most_bytes else found.where(draw < drawn * most_bytes // size)
