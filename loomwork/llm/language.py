@@ -1,19 +1,21 @@
 """Language by a linear-chain conditional random field over words.
 
 Each word carries affix, byte n-gram and lexicon features, hashed into a table of weights
-for each language; learned transitions tie neighbouring words. Forward-backward gives each
-word's distribution over languages, so text that switches language is labelled word by
-word; a document's language is the one with the largest mean over its words.
-
-Training: of at most `max_docs` labelled documents, each gives up to `pieces` runs of
-`run` consecutive words from all over its text. Runs of different documents are strung
-together, so the transitions see switches. The weights have a fixed size; they are what is
-broadcast. Prediction is one pass over whole texts, without any shuffle. Long texts are
-cut into segments whose transfer matrices are multiplied, which gives the same values as
-going word by word.
+for each language; learned transitions tie neighbouring words. The lexicon of a language is
+learned from the training rows: words of at least LEXICON_TEXTS of their texts, LEXICON_SHARE of these in
+that language. Forward-backward gives each word's distribution over languages, so text that switches
+language is labelled word by word; a document's language is the one with the largest mean over its words.
+
+Training: at most about `per_language` documents of each language, whole, and about `max_bytes` of
+text, drawn by a hash of the id, so a rare language is learned as well. Their words go in runs of
+`run` words; runs of different documents are strung together, so the transitions see switches. The order of rows
+doesn't matter. The weights have a fixed size, and the lexicon is no larger than the sample's
+vocabulary; they are what is broadcast. Prediction is one pass over whole texts, without any shuffle.
+Long texts are cut into segments whose transfer matrices are multiplied, which gives the same
+values as going word by word.
 
 Nulls: `und` with score 0 where the text is null or has no letter, or where nothing could
-be learned. A null language isn't learned from. Repeated rows are predicted alike.
+be learned. A null language or id isn't learned from. Repeated rows are predicted alike.
 """
 
 from __future__ import annotations
@@ -22,13 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import remainder, table
 from loomwork.llm.text import mix, slices, sums, words
 
 BITS = 17
+LEXICON_TEXTS, LEXICON_SHARE = 3, 0.9
 SEGMENT = 128
 #: Words are runs of ASCII letters and of all bytes beyond ASCII.
 BREAK = np.zeros(256, bool)
@@ -51,11 +54,39 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
 
 
-def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Feature ids of words, flat, and how many each has: the word itself, affixes of 1 to 4 bytes, all trigrams."""
+class Lexicon:
+    """Words, by hash, that belong to one language."""
+
+    def __init__(self, hashes: np.ndarray, language: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.language = hashes[order], language[order]
+
+    @classmethod
+    def learned(cls, words: np.ndarray, texts: np.ndarray, label: np.ndarray, k: int) -> Lexicon:
+        """From each word's hash, text and language."""
+        order = np.lexsort((texts, words))
+        words, texts, label = words[order], texts[order], label[order]
+        once = np.ones(len(words), bool)
+        once[1:] = (words[1:] != words[:-1]) | (texts[1:] != texts[:-1])
+        keys, at = np.unique(words[once], return_inverse=True)
+        n = np.bincount(at * k + label[once], minlength=len(keys) * k).reshape(-1, k)
+        sure = (n.sum(1) >= LEXICON_TEXTS) & (n.max(1, initial=0) >= LEXICON_SHARE * n.sum(1))
+        return cls(keys[sure], n[sure].argmax(1) if sure.any() else np.zeros(0, np.int64))
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """1 + the language of each word, or 0."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64)
+        i = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[i] == hashes, self.language[i] + 1, 0)
+
+
+def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """Feature ids of words, flat, and how many each has: the word itself, affixes of 1 to 4 bytes, its lexicon, all trigrams."""
     n, size = len(starts), ends - starts
-    fixed = np.empty((n, 9), np.uint64)
+    fixed = np.empty((n, 10), np.uint64)
     fixed[:, 0] = hashes
+    fixed[:, 9] = mix(lexicon.of(hashes).astype(np.uint64) + np.uint64(1 << 52))
     with np.errstate(over="ignore"):
         left, right = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
         for k in range(4):
@@ -66,11 +97,11 @@ def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes
         m = np.maximum(size - 2, 0)
         at = spread(starts, m)
         tri = mix(data[at].astype(np.uint64) << np.uint64(16) | data[at + 1].astype(np.uint64) << np.uint64(8) | data[at + 2] | np.uint64(1 << 50)) if len(at) else np.zeros(0, np.uint64)
-    counts = 9 + m
+    counts = 10 + m
     flat = np.empty(int(counts.sum()), np.uint64)
     begin = np.cumsum(counts) - counts
-    flat[spread(begin, np.full(n, 9))] = fixed.ravel()
-    flat[spread(begin + 9, m)] = tri
+    flat[spread(begin, np.full(n, 10))] = fixed.ravel()
+    flat[spread(begin + 10, m)] = tri
     return (flat & np.uint64((1 << BITS) - 1)).astype(np.int64), counts
 
 
@@ -82,6 +113,26 @@ class Chain:
 
     def marginals(self, e: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Of each word, given the words' potentials and where each text's words begin."""
+        forward, backward, _ = self.passes(e, first)
+        result = forward * backward
+        return result / result.sum(1, keepdims=True) if len(result) else result
+
+    def gradient(self, e: np.ndarray, first: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the labels' log-likelihood, by the potentials, the start and the transitions: what is there less what is expected."""
+        forward, backward, potential = self.passes(e, first)
+        p = forward * backward
+        by_word = -p / p.sum(1, keepdims=True) if len(p) else -p
+        by_word[np.arange(len(label)), label] += 1
+        inner = np.ones(len(label), bool)
+        inner[first[:-1][np.diff(first) > 0]] = False
+        j, k = np.flatnonzero(inner), len(self.start)
+        pair = forward[j - 1][:, :, None] * np.exp(self.move - self.move.max())[None] * (potential[j] * backward[j])[:, None, :]
+        pair /= pair.sum((1, 2), keepdims=True)
+        by_move = np.bincount(label[j - 1] * k + label[j], minlength=k * k).reshape(k, k) - pair.sum(0)
+        return by_word, by_word[~inner].sum(0), by_move
+
+    def passes(self, e: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word, each up to a factor: forward with the word itself, backward without it, and its potentials, not in logs."""
         e = np.exp(e - e.max(1, keepdims=True)) if len(e) else e
         start, move = np.exp(self.start - self.start.max()), np.exp(self.move - self.move.max())
         k, counts = len(start), np.diff(first)
@@ -120,7 +171,7 @@ class Chain:
                 v = np.einsum("nkl,nl->nk", full[i], out[i])
                 out[i - 1] = v / v.sum(1, keepdims=True)
 
-        result = np.empty((len(e), k))
+        forward, backward = np.empty((len(e), k)), np.empty((len(e), k))
         v = into[order]
         for t in range(SEGMENT):
             n = int(active[t])
@@ -132,29 +183,29 @@ class Chain:
             i = at_[:n] + t
             w *= e[i]
             w /= w.sum(1, keepdims=True)
-            v[:n] = result[i] = w
+            v[:n] = forward[i] = w
         v = out[order]  # after the last word of a segment
         for t in range(SEGMENT - 1, -1, -1):
             n = int(active[t])
             if not n:
                 continue
             i = at_[:n] + t
-            result[i] *= v[:n]
+            backward[i] = v[:n]
             v[:n] = (e[i] * v[:n]) @ move.T
             v[:n] /= v[:n].sum(1, keepdims=True)
-        return result / result.sum(1, keepdims=True) if len(result) else result
+        return forward, backward, e
 
 
 class Tagger:
-    def __init__(self, languages: list[str], weights: np.ndarray, chain: Chain):
-        self.languages, self.weights, self.chain = languages, weights, chain
+    def __init__(self, languages: list[str], weights: np.ndarray, chain: Chain, lexicon: Lexicon):
+        self.languages, self.weights, self.chain, self.lexicon = languages, weights, chain, lexicon
 
     def tag(self, column: pa.Array):
         """The words, and each word's distribution over the languages."""
         w = words(column, BREAK)
         data = folded(w.data)
         keys, at, back = np.unique(w.hashes(data), return_index=True, return_inverse=True)
-        ids, counts = word_features(data, w.starts[at], w.ends[at], keys)
+        ids, counts = word_features(data, w.starts[at], w.ends[at], keys, self.lexicon)
         begin = np.concatenate([[0], np.cumsum(counts)])
         e = sums(self.weights[ids], begin)[back]
         return w, self.chain.marginals(e, w.first)
@@ -168,36 +219,38 @@ class Tagger:
         letter[plain] = True
         for i in np.flatnonzero(~plain & (w.counts > 0)).tolist():
             letter[i] = any(c.isalpha() for c in w.data[w.offsets[i] : w.offsets[i + 1]].tobytes().decode("utf-8", "replace"))
-        return [self.languages[b] if ok else "und" for b, ok in zip(best.tolist(), letter.tolist(), strict=True)], np.where(letter, mean.max(1), 0.0)
+        return [self.languages[b] if ok else "und" for b, ok in zip(best.tolist(), letter.tolist(), strict=True)], np.where(letter, np.round(mean.max(1), 9), 0.0)
 
 
-def _runs(pieces: int, run: int):
-    """Runs of words from evenly spaced places of each text, joined by blanks."""
+def _runs(run: int):
+    """Each text in consecutive runs of words, joined by blanks."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             w = words(b.column("text"), BREAK)
-            text, lang = [], []
-            for i, label in enumerate(b.column("lang").to_pylist()):
-                a, z = int(w.first[i]), int(w.first[i + 1])
-                for c in np.unique(np.linspace(a, max(a, z - run), pieces).astype(int)).tolist() if z > a else []:
+            text, row, piece = [], [], []
+            for i, (a, z) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)):
+                for c in range(a, z, run):
                     text.append(" ".join(w.data[w.starts[j] : w.ends[j]].tobytes().decode("utf-8", "replace") for j in range(c, min(c + run, z))))
-                    lang.append(label)
-            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array(lang, pa.string())], ["text", "lang"])
+                    row.append(i)
+                    piece.append((c - a) // run)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(text, pa.string()), b.column("lang").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32())], ["doc_id", "text", "lang", "piece"])
 
     return f
 
 
-def fit(runs: list[str], labels: list[str], epochs: int = 6, string: int = 5, batch: int = 40, rate: float = 0.3, ridge: float = 1e-6, seed: int = 3) -> Tagger:
-    """Stochastic gradient of the conditional log-likelihood, with a step size for each weight."""
+def fit(runs: list[str], labels: list[str], of: list | None = None, epochs: int = 4, string: int = 5, batch: int = 40, rate: float = 0.3, ridge: float = 1e-6, seed: int = 3) -> Tagger:
+    """Stochastic gradient of the conditional log-likelihood, with a step size for each weight. of: the text of each run."""
     languages = sorted(set(labels))
     k = len(languages)
     w = words(pa.array(runs, pa.string()), BREAK)
     data = folded(w.data)
     keys, at, back = np.unique(w.hashes(data), return_index=True, return_inverse=True)
-    ids, counts = word_features(data, w.starts[at], w.ends[at], keys)
-    begin = np.concatenate([[0], np.cumsum(counts)])
     y = np.array([languages.index(x) for x in labels])
+    texts = np.unique(np.array(range(len(runs)) if of is None else of), return_inverse=True)[1]
+    lexicon = Lexicon.learned(keys[back], np.repeat(texts, w.counts), np.repeat(y, w.counts), k)
+    ids, counts = word_features(data, w.starts[at], w.ends[at], keys, lexicon)
+    begin = np.concatenate([[0], np.cumsum(counts)])
     rng = np.random.default_rng(seed)
     weights, chain = np.zeros((1 << BITS, k)), Chain(np.zeros(k), np.zeros((k, k)))
     g_w, g_s, g_m = np.full_like(weights, 1e-2), np.full(k, 1e-2), np.full((k, k), 1e-2)
@@ -219,17 +272,7 @@ def fit(runs: list[str], labels: list[str], epochs: int = 6, string: int = 5, ba
             u, inverse = np.unique(back[token], return_inverse=True)
             f, n = ids[spread(begin[u], counts[u])], counts[u]
             e = sums(weights[f], np.concatenate([[0], np.cumsum(n)]))[inverse]
-            p = chain.marginals(e, first)
-            delta = -p
-            delta[np.arange(len(label)), label] += 1
-            # expected transitions, from the marginals of neighbours given the chain
-            inner = np.ones(len(label), bool)
-            inner[first[:-1][np.diff(first) > 0]] = False
-            j = np.flatnonzero(inner)
-            pair = p[j - 1][:, :, None] * np.exp(chain.move - chain.move.max())[None] * p[j][:, None, :]
-            pair /= pair.sum((1, 2), keepdims=True)
-            gm = np.bincount(label[j - 1] * k + label[j], minlength=k * k).reshape(k, k) - pair.sum(0)
-            gs = delta[~inner].sum(0)
+            delta, gs, gm = chain.gradient(e, first, label)
             du = np.zeros((len(u), k))
             for c in range(k):
                 du[:, c] = np.bincount(inverse, weights=delta[:, c], minlength=len(u))
@@ -241,18 +284,29 @@ def fit(runs: list[str], labels: list[str], epochs: int = 6, string: int = 5, ba
             for value, grad, total in ((chain.move, gm / len(part), g_m), (chain.start, gs / len(part), g_s)):
                 total += grad**2
                 value += rate * grad / np.sqrt(total)
-    return Tagger(languages, weights.astype(np.float32), chain)
+    return Tagger(languages, weights.astype(np.float32), chain, lexicon)
+
+
+def drawn(docs: DataFrame, usable: Column, per_language: int, max_bytes: int) -> DataFrame:
+    """(doc_id, text, lang) of about so many documents of each language, and so much text, by a hash of the id."""
+    known = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20))
+    # the languages are what is to be learned, so there are few
+    shares = known.groupBy(F.col("lang").alias("of_lang")).agg(F.least(F.lit(1.0), F.lit(per_language) / F.count("*")).alias("share"))
+    sample = known.join(shares, F.col("lang") == F.col("of_lang")).where(draw < F.col("share") * (1 << 20))
+    size = sample.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    less = min(1.0, max_bytes / max(1, size))
+    return (sample if less == 1 else sample.where(draw < F.col("share") * (1 << 20) * less)).select("doc_id", "text", "lang")
 
 
-def languages(docs: DataFrame, usable=None, max_docs: int = 2000, pieces: int = 6, run: int = 40) -> DataFrame:
+def languages(docs: DataFrame, usable=None, per_language: int = 500, max_bytes: int = 1 << 24, run: int = 40) -> DataFrame:
     """(doc_id, lang_pred, score) of every document; rows with a language where `usable` holds are learned from."""
-    known = docs.where((F.lit(True) if usable is None else usable) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = min(1.0, max_docs / max(1, known.select("lang").count()))
-    sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    t = sample.select("text", "lang").mapInArrow(_runs(pieces, run), "text string, lang string").toArrow()
+    sample = drawn(docs, F.lit(True) if usable is None else usable, per_language, max_bytes)
+    t = sample.mapInArrow(_runs(run), f"doc_id {dict(docs.dtypes)['doc_id']}, text string, lang string, piece int").toArrow()
     if not t.num_rows:
         return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    tagger = docs.sparkSession.sparkContext.broadcast(fit(t["text"].to_pylist(), t["lang"].to_pylist()))
+    t = t.sort_by([(c, "ascending") for c in ("doc_id", "lang", "piece", "text")])
+    tagger = docs.sparkSession.sparkContext.broadcast(fit(t["text"].to_pylist(), t["lang"].to_pylist(), t["doc_id"].to_pylist()))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):

@@ -1,6 +1,7 @@
 """Toxicity, quality and language: held-out accuracy on the test tables, and odd rows."""
 
 import collections
+import itertools
 import random
 import re
 
@@ -10,7 +11,7 @@ import pytest
 from conftest_llm import ODD
 from pyspark.sql import functions as F
 
-from loomwork.llm.language import Chain, fit, languages, op5_language
+from loomwork.llm.language import Chain, Lexicon, fit, languages, op5_language
 from loomwork.llm.quality import op9_quality, quality
 from loomwork.llm import toxicity as kn
 from loomwork.llm.toxicity import op1_toxicity, toxicity, without_toxic
@@ -93,6 +94,7 @@ def test_quality_on_held_out_rows(spark):
 
 def test_language_on_held_out_rows(spark):
     r = op5_language(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
+    print(f"language, held out: {(r.lang_pred == r.lang).mean():.4f} of {len(r)} right")
     assert (r.lang_pred == r.lang).mean() > 0.98
 
 
@@ -149,6 +151,58 @@ def test_forward_backward_against_all_paths_in_log_space(seed):
         assert np.allclose(got[a:z], want, atol=1e-9)
 
 
+def test_gradient_against_all_paths_and_finite_differences():
+    rng = np.random.default_rng(8)
+    k, lengths = 3, [5, 0, 1, 4, 2]
+    first = np.concatenate([[0], np.cumsum(lengths)])
+    e, start, move, label = rng.normal(size=(12, k)), rng.normal(size=k), rng.normal(size=(k, k)), rng.integers(0, k, 12)
+
+    def likelihood(e, start, move):
+        total = 0.0
+        for a, z in zip(first[:-1], first[1:], strict=True):
+            score = lambda path: sum(e[a + t, s] + (move[path[t - 1], s] if t else start[s]) for t, s in enumerate(path))  # noqa: B023, E731
+            if z > a:
+                total += score(label[a:z]) - np.log(sum(np.exp(score(p)) for p in itertools.product(range(k), repeat=int(z - a))))
+        return total
+
+    got = dict(zip(("e", "start", "move"), Chain(start, move).gradient(e, first, label), strict=True))
+    for name in ("e", "start", "move"):
+        value = {"e": e, "start": start, "move": move}[name]
+        for at in np.ndindex(value.shape):
+            up, down = value.copy(), value.copy()
+            up[at] += 1e-5
+            down[at] -= 1e-5
+            here = [likelihood(**({"e": e, "start": start, "move": move} | {name: v})) for v in (up, down)]
+            assert abs(got[name][at] - (here[0] - here[1]) / 2e-5) < 1e-6
+
+
+def test_gradient_across_segments():
+    rng = np.random.default_rng(9)
+    first = np.array([0, 300, 429])
+    e, chain, label = rng.normal(size=(429, 3)), Chain(rng.normal(size=3), rng.normal(size=(3, 3))), rng.integers(0, 3, 429)
+    by_word, by_start, by_move = chain.gradient(e, first, label)
+    assert np.allclose(by_word.sum(1), 0) and abs(by_move.sum()) < 1e-9 and abs(by_start.sum()) < 1e-9
+    # the expected pairs of neighbours add up to the words' own distributions
+    p = chain.marginals(e, first)
+    inner = np.ones(429, bool)
+    inner[first[:-1]] = False
+    there = np.bincount(label[np.flatnonzero(inner) - 1] * 3 + label[inner], minlength=9).reshape(3, 3)
+    assert np.allclose((there - by_move).sum(0), p[inner].sum(0))
+
+
+def test_lexicon_is_learned_from_the_texts():
+    h, texts, label = np.array([7, 7, 7, 7, 8, 8, 8, 9], np.uint64), np.array([0, 1, 2, 2, 0, 1, 3, 0]), np.array([1, 1, 1, 1, 1, 1, 0, 1])
+    assert Lexicon.learned(h, texts, label, 2).of(np.array([7, 8, 9, 1], np.uint64)).tolist() == [2, 0, 0, 0]
+
+
+def test_rare_languages_and_the_order_of_rows(spark, prose):
+    rows = [(i, prose(30, i), "xx") for i in range(300)] + [(1000 + i, " ".join(f"zq{w}ov" for w in prose(30, i).split()), "yy") for i in range(6)] + [(None, "ab cd", "zz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    a = {r.doc_id: tuple(r) for r in languages(df, per_language=40).collect()}
+    b = {r.doc_id: tuple(r) for r in languages(df.repartition(5, "text"), per_language=40).collect()}
+    assert a == b and all(a[1000 + i][1] == "yy" for i in range(6)) and a[0][1] == "xx" and a[None][1] in ("xx", "yy")
+
+
 def test_words_of_a_code_switched_text():
     left, right = "the cat sat on that mat and this thing was with them".split(), "der hund und die katze sind nicht auf dem dach".split()
     rng = np.random.default_rng(0)
