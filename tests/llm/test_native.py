@@ -110,7 +110,7 @@ def items(spark, prose):
 
 def test_leaks_against_plain_python(frame, prose, items):
     table, listed = items
-    texts = list(ODD[:-1])
+    texts = list(ODD)
     for i, t in listed:
         w = (t or "").split()
         texts += [t, f"{prose(30, i or 99)} {(t or '').upper()} {prose(20, 7)}", " ".join(w[:-2] + ["other", "words"]), " ".join(w[: len(w) // 2] + ["more"] + w[len(w) // 2 :]), " ".join(w[1:] + ["tail"]), "... ".join(w), prose(9, 8) + " " + " ".join(w[:-1])]
@@ -170,21 +170,81 @@ def test_nothing_leaks_from_nothing(frame, empty, items):
     assert decontamination.without_leaks(frame(["a b c d e f"]), items[0].limit(0)).count() == 1
 
 
-def test_fingerprints_within_the_radius_share_a_block(spark):
-    import random
-
+def test_index_finds_every_fingerprint_within_the_radius(spark):
     rng = random.Random(1)
-    rows = []
-    for i in range(200):
-        x = rng.getrandbits(64)
+    rows, signed = [], lambda x: x - (1 << 64) * (x >> 63)
+    for i in range(300):
+        x = rng.getrandbits(128)
         y = x
-        for b in rng.sample(range(64), decontamination.RADIUS):
+        for b in rng.sample(range(128), i % decontamination.RADIUS + 1):
             y ^= 1 << b
-        rows.append((i, x - (1 << 63), y - (1 << 63)))
-    df = spark.createDataFrame(rows, "i int, x long, y long")
-    left = df.select("i", decontamination.blocks(F.col("x")).alias("p"))
-    right = df.select("i", decontamination.blocks(F.col("y")).alias("p"))
-    assert left.join(right, ["i", "p"]).select("i").distinct().count() == 200
+        rows.append((i, *(signed(v & (1 << 64) - 1) for v in (x, x >> 64, y, y >> 64))))
+    df = spark.createDataFrame(rows, "i int, a long, b long, print_a long, print_b long")
+    left = df.select("i", decontamination.blocks(F.col("a"), F.col("b")).alias("p")).select("i", "p.block", "p.bits")
+    right = decontamination.near_blocks(df, "i")
+    assert decontamination.RADIUS < decontamination.BLOCKS * (decontamination.NEAR + 1)
+    assert left.join(right, ["i", "block", "bits"]).select("i").distinct().count() == 300
+
+
+def test_two_words_inserted_between_long_ones(spark, frame):
+    """Windows that line up with the item have a similarity of 0.782 at most; one between them has 0.856."""
+    middle = "k l m n o p q r s t".split()
+    item = ["a", "b", "c", "d", "e", "x" * 120, *middle, "y" * 120, "v", "w", "x", "y", "z"]
+    text = item[:11] + ["new", "words"] + item[11:]
+    want = leaked([(0, " ".join(text))], [(1, " ".join(item))])
+    assert want == {(0, 1)}
+    items, docs = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"), frame([" ".join(text)])
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, items).collect()} == want
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text").toArrow())
+    con.register("benchmark", items.toArrow())
+    assert {r[:2] for r in con.execute(decontamination.OP7_SQL).fetchall()} == want
+
+
+@pytest.fixture(scope="module")
+def altered(prose):
+    """Passages of the items with words replaced, left out or put in, so that many lie close to 0.8."""
+    listed, texts = [(i, prose(random.Random(i).randint(14, 58), 50_000 + i)) for i in range(60)], []
+    for i, t in listed:
+        for k in range(6):
+            rng, w = random.Random(i * 10 + k), t.split()
+            at = rng.choice([0, 1, len(w) // 2, len(w) - 1, len(w) - 2])
+            w[at : at + rng.randint(0, 2)] = prose(rng.randint(0, 3), 60_000 + i * 10 + k).split()
+            texts.append(" ".join([prose(rng.randint(0, 30), 70_000 + i * 10 + k), *w, prose(rng.randint(0, 30), 80_000 + i * 10 + k)]))
+    return texts, listed
+
+
+def test_recall_on_altered_passages_and_selection_of_the_index(spark, frame, altered):
+    texts, listed = altered
+    want = leaked(list(enumerate(texts)), listed)
+    listed = listed + [(1000 + i, prose(random.Random(i).randint(14, 58), 90_000 + i)) for i in range(500)]  # that nothing holds
+    table = spark.createDataFrame(listed, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(frame(texts), table).collect()}
+    recall = len(got & want) / len(want)
+    items = decontamination.Items(table)
+    matched = decontamination.matched_texts(frame(texts), items)
+    places = decontamination.windowed(matched, "windows", "p", "n_words", "start").select("text_key", "n_words", "start", "value.*")
+    prints = kept(decontamination.fingerprints(places, "text_key", "n_words", "start"), "test-prints")
+    every = prints.join(items.prints, "n_words")
+    near = every.where(decontamination.distance(("print_a", "print_b"), ("item_a", "item_b")) <= decontamination.RADIUS)
+    mine = prints.select("n_words", decontamination.blocks(F.col("print_a"), F.col("print_b")).alias("p")).select("n_words", "p.block", "p.bits")
+    joined, pairs, within = mine.join(items.index, ["n_words", "block", "bits"]).count(), every.count(), near.count()
+    assert decontamination.candidates(prints, items).distinct().count() == within
+    print(f"altered passages: {len(want)} leaks, recall {recall:.4f}; windows x items of a size {pairs}, rows of the multi-index {joined}, pairs within the radius {within}")
+    assert got <= want and recall > 0.98 and joined < pairs and within < pairs / 2
+
+
+def test_time_is_linear_in_a_text(spark, frame):
+    import time
+
+    items = spark.createDataFrame([(1, "la la la la la la la la")], "item_id long, text string")
+    decontamination.contaminated(frame(["la " * 100]), items).count()
+    took = []
+    for n in (2_500, 20_000):
+        began = time.time()
+        assert decontamination.contaminated(frame(["la " * n]), items).count() == 1
+        took.append(time.time() - began)
+    assert took[1] < 8 * took[0] + 5, took
 
 
 # -- pipeline --------------------------------------------------------------------------
