@@ -6,28 +6,37 @@ in every document. Without the key it can't be undone; with it, it can (`inverse
 
 Formats and what validates them:
 
-- card: 13 to 19 digits, bare or in groups of four. The digits but the last are
-  permuted; where the Luhn check digit was right it is set anew, so the pseudonym is right
-  as well, and where it was wrong the pseudonym's is wrong by as much.
-- phone: +country (area) number or groups parted by blanks, dots or hyphens, 10 to 15
-  digits. The digits after the country code are permuted, marks stay.
-- ip: dotted IPv4 with four numbers up to 255; the 32 bits are permuted.
+- iban: bare or in groups of four, by its check digits (mod 97). The digits behind these are permuted,
+  letters stay, the check digits are set anew.
+- card: 13 to 19 digits, bare, in groups of four, or 4-6-5, by the Luhn digit. The digits before it
+  are permuted, and it is set anew.
+- phone: +country (area) number or groups parted by blanks, dots or hyphens, 10 to 15 digits; ten digits
+  as (area) number or area-number, which are linked with the same number after +1; national numbers with a
+  leading 0 as five pairs or as area and number. The digits after the country code or the 0 are
+  permuted, marks stay.
+- ip: dotted IPv4 with four numbers up to 255; the 32 bits are permuted. IPv6 as the standard library
+  reads it; its hexadecimal digits are permuted, colons stay.
 - ssn: 3-2-4 digits with an area other than 000, 666 and 9xx, permuted among those valid.
-- date: year-month-day, day.month.year, or day/month/year of 1900 to 2099 that exists;
-  the day number is permuted within these two centuries.
+- date: year-month-day (a time may follow), day.month.year, day/month/year, or month/day/year where only that can
+  be meant, of 1900 to 2099 and existing. Days are permuted within these two centuries, among the dates
+  whose day and month have as many digits.
 - email: letters and digits of the local part, each kept in its kind; the domain stays.
 - hex: 32 to 64 hexadecimal digits (keys, tokens), permuted as digits of base 16.
 
-What fails validation stays as it is. A null text gives a null text and no values; an
+Equal values give equal pseudonyms in every spelling of marks; dates of different widths are different
+values. What fails validation stays as it is. A null text gives a null text and no values; an
 empty one likewise stays empty. Null ids and repeated rows are kept.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from datetime import date
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,22 +45,24 @@ from loomwork.llm.common import table
 from loomwork.llm.text import slices
 
 ROUNDS = 10
-KINDS = ("card", "phone", "ip", "ssn", "date", "email", "hex")
+KINDS = ("iban", "card", "phone", "ip", "ssn", "date", "email", "hex")
 FIRST_DAY, DAYS = date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal() - date(1900, 1, 1).toordinal()
 LETTERS, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"|(?P<hex>(?<![0-9A-Za-z])(?=[0-9]*[A-Fa-f])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z]))"
-    r"|(?P<date>(?<![\w.-])(?:(?:19|20)\d\d-\d\d-\d\d|\d{1,2}\.\d{1,2}\.(?:19|20)\d\d|\d{1,2}/\d{1,2}/(?:19|20)\d\d)(?![\w-]|\.\d))"
-    r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
+    r"|(?P<iban>(?<![\w.-])[A-Z]{2}\d\d(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![\w-]))"
+    r"|(?P<date>(?<![\w.-])(?:(?:19|20)\d\d-\d\d-\d\d(?=T\d\d:|(?![\w-]|\.\d))|(?:\d{1,2}\.\d{1,2}\.(?:19|20)\d\d|\d{1,2}/\d{1,2}/(?:19|20)\d\d)(?![\w-]|\.\d)))"
+    r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)|(?<![\w:.])(?=[0-9A-Fa-f:]*[0-9A-Fa-f]:)(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<card>(?<![\w.-])(?:\d{4}(?:[ -]\d{4}){3}|\d{13,19})(?![\w-]|\.\d))"
-    r"|(?P<phone>(?<![\w.-])(?:\+\d{1,3}[ .-]?)(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,5}){2,4}(?![\w-]|\.\d)|(?<![\w.-])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?![\w-]|\.\d))",
+    r"|(?P<card>(?<![\w.-])(?:\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![\w-]|\.\d))"
+    r"|(?P<phone>(?<![\w.-])(?:\+\d{1,3}[ .-]?)(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,5}){2,4}(?![\w-]|\.\d)|(?<![\w.-])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?![\w-]|\.\d)"
+    r"|(?<![\w.-])0[1-9](?:(?:[ .-]\d\d){4}|\d{1,3}[ /-]\d{6,8})(?![\w-]|\.\d))",
     re.ASCII,
 )
 #: A text without any of these holds none of the formats.
-TRACE = re.compile(r"[0-9@]|[A-Fa-f]{32}")
+TRACE = re.compile(r"[0-9@]|[A-Fa-f]{32}|::?[A-Fa-f]")
 
 
 class Feistel:
@@ -98,6 +109,24 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
+def mod97(s: str) -> int:
+    """The check digits of an IBAN's country and account."""
+    return 98 - int("".join(str(int(c, 36)) for c in s[4:] + s[:2] + "00")) % 97
+
+
+@cache
+def days_of(order: str, widths: tuple[int, int]) -> list[int]:
+    """Ordinals of the dates written in this order with so many digits of the first two numbers; two stand for padded ones too."""
+    out = []
+    for n in range(FIRST_DAY, FIRST_DAY + DAYS):
+        d = date.fromordinal(n)
+        pair = (d.day, d.month) if order == "dm" else (d.month, d.day)
+        # 13/25/2001 is no date, and 03/04/2001 is taken for the third of April
+        if (order == "dm" or d.day > 12) and (widths == (2, 2) or all(len(str(x)) == w for x, w in zip(pair, widths, strict=True))):
+            out.append(n)
+    return out
+
+
 class Pseudonyms:
     def __init__(self, key: bytes, inverse: bool = False):
         feistel = Feistel(key)
@@ -115,21 +144,43 @@ class Pseudonyms:
         left = iter(digits)
         return "".join(next(left) if c.isdigit() else c for c in shape)
 
-    def card(self, s: str) -> str:
+    def iban(self, s: str) -> str | None:
+        flat = s.replace(" ", "")
+        if not 15 <= len(flat) <= 34 or int(flat[2:4]) != mod97(flat):
+            return None
+        account = flat[4:]
+        new = self.refill(account, self.digits(re.sub(r"\D", "", account), b"iban" + flat[:2].encode() + re.sub(r"\d", "0", account).encode()))
+        left = iter(flat[:2] + f"{mod97(flat[:4] + new):02d}" + new)
+        return "".join(c if c == " " else next(left) for c in s)
+
+    def card(self, s: str) -> str | None:
         d = re.sub(r"\D", "", s)
-        off = (int(d[-1]) - luhn(d[:-1])) % 10
+        if int(d[-1]) != luhn(d[:-1]):
+            return None
         new = self.digits(d[:-1], b"card")
-        return self.refill(s, new + str((luhn(new) + off) % 10))
+        return self.refill(s, new + str(luhn(new)))
 
     def phone(self, s: str) -> str | None:
         d = re.sub(r"\D", "", s)
-        if not 10 <= len(d) <= 15:
+        if not 9 < len(d) < 16:
             return None
-        country = re.match(r"\+\d{1,3}(?=\D)", s)
-        n = len(country[0]) - 1 if country else min(1, len(d) - 10) if s[0] != "+" else 1
-        return self.refill(s, d[:n] + self.digits(d[n:], b"phone" + d[:n].encode()))
+        if s[0] == "+":
+            country = re.match(r"\+\d{1,3}(?=\D)", s)
+            n = len(country[0]) - 1 if country else 1
+        else:
+            n = int(s[0] == "0")  # a national number's 0 stays
+        code = "1" if not n else d[:n]
+        return self.refill(s, d[:n] + self.digits(d[n:], b"phone" + code.encode()))
 
     def ip(self, s: str) -> str | None:
+        if ":" in s:
+            try:
+                ipaddress.IPv6Address(s)
+            except ValueError:
+                return None
+            new = iter(self.digits(s.replace(":", "").lower(), b"ip6" + re.sub("[^:]", "0", s).encode(), 16))
+            new = "".join(c if c == ":" else next(new) for c in s)
+            return new.upper() if s.upper() == s else new
         parts = [int(x) for x in s.split(".")]
         if max(parts) > 255 or any(len(x) > 1 and x[0] == "0" for x in s.split(".")):
             return None
@@ -147,14 +198,26 @@ class Pseudonyms:
 
     def date(self, s: str) -> str | None:
         mark = next(c for c in s if not c.isdigit())
-        parts = [int(x) for x in s.split(mark)]
-        y, m, d = parts if mark == "-" else parts[::-1]
+        parts = s.split(mark)
+        if mark == "-":
+            order, widths, (y, m, d) = "dm", (2, 2), map(int, parts)
+        else:
+            order = "md" if mark == "/" and int(parts[1]) > 12 else "dm"
+            widths, y = (len(parts[0]), len(parts[1])), int(parts[2])
+            d, m = map(int, parts[:2] if order == "dm" else parts[1::-1])
         try:
             day = date(y, m, d).toordinal()
         except ValueError:
             return None
-        new = date.fromordinal(FIRST_DAY + self.permute(day - FIRST_DAY, DAYS, b"date"))
-        return f"{new:%Y-%m-%d}" if mark == "-" else f"{new.day:02d}{mark}{new.month:02d}{mark}{new.year}"
+        days = days_of(order, widths)
+        at = bisect_left(days, day)
+        if at == len(days) or days[at] != day:  # as in 03.7.2001, where 0 fills up one number alone
+            return None
+        new = date.fromordinal(days[self.permute(at, len(days), f"date{order}{widths}".encode())])
+        if mark == "-":
+            return f"{new:%Y-%m-%d}"
+        pair = (new.day, new.month) if order == "dm" else (new.month, new.day)
+        return mark.join([*(f"{x:0{w}d}" for x, w in zip(pair, widths, strict=True)), str(new.year)])
 
     def email(self, s: str) -> str:
         local, _, domain = s.partition("@")
