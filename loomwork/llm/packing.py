@@ -10,16 +10,17 @@ starting on a byte, so a block's offset gives random access and numpy unpacks it
     offset of each block in the payload u64 x blocks
     payload
 
-Documents are dealt to shards by ranges of doc_id, so shards hold ascending ids and a
-shard's first id position is the sum of the shards before it. The only thing gathered
+Documents are dealt to shards by ranges of doc_id, so shards hold ascending ids (or by
+another column, which gives their order), and a shard's first id position is the sum of the shards before it. The only thing gathered
 across shards is one count for each shard.
 
 Nulls and ties: a null text is an empty one, so its ids are the end id alone; null ids
-come first; equal ids follow each other in the order of their texts, all kept.
+come first; equal ids follow each other in the order of their texts' hashes, all kept.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomwork.llm.common import kept, new_dir, table
+from loomwork.llm.common import kept, new_dir, table, until_end
 from loomwork.llm.files import opened
 from loomwork.llm.text import slices, words
 
@@ -49,6 +50,8 @@ def width(vocabulary: int) -> int:
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """Lowest bit first, filled up to a whole byte."""
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {int(ids.max())} doesn't fit {bits} bits")
     if bits in (8, 16, 32):
         return ids.astype(f"<u{bits // 8}").tobytes()
     return np.packbits(((ids[:, None] >> np.arange(bits, dtype=np.uint32)) & 1).astype(np.uint8), bitorder="little").tobytes()
@@ -122,13 +125,27 @@ _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _PLAIN = re.compile("[a-zß-öø-ÿ]+")
 
 
+#: How a tokenizer must part and fold texts for pieces to stand for themselves.
+_NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def by_piece(tokenizer: dict) -> bool:
+    """Of the tokenizer's own JSON: whether it folds and parts texts in the way that Encoder relies on."""
+    parts = (tokenizer["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+    level = parts[-1].get("type") == "ByteLevel" and not parts[-1]["add_prefix_space"] and not parts[-1]["use_regex"]
+    split = len(parts) == 2 and parts[0].get("pattern") == {"Regex": _PARTS} and parts[0]["behavior"] == "Removed" and parts[0]["invert"]
+    plain = all(t["special"] and t["content"].startswith("<|") and not (t["single_word"] or t["lstrip"] or t["rstrip"]) for t in tokenizer["added_tokens"])
+    return tokenizer["normalizer"] == _NORMAL and split and level and plain and tokenizer["model"]["type"] == "BPE" and not tokenizer["truncation"]
+
+
 class Encoder:
     """Ids of texts under a word-by-word tokenizer: each distinct piece is encoded once and remembered.
 
-    White space and the border between a plain letter and a mark part pieces in this
+    White space and the border between a plain letter and a mark part pieces in such a
     tokenizer wherever they stand, so a text's ids are those of its pieces in order.
     A piece of Latin letters goes straight to the vocabulary's BPE model, which gives
-    what the full path gives; any other takes the full path.
+    what the full path gives; any other takes the full path. Any other tokenizer encodes whole texts.
     """
 
     MOST = 1_500_000
@@ -138,6 +155,8 @@ class Encoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.whole = Tokenizer.from_file(path)
+        self.pieces = by_piece(json.loads(self.whole.to_str()))
+        self.vocabulary = 1 + max(self.whole.get_vocab(with_added_tokens=True).values())
         self.model = self.whole.model
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         # letters of the byte-level alphabet, as the library maps them
@@ -157,6 +176,9 @@ class Encoder:
 
     def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids, `end` after each text, and the number of ids of each text."""
+        if not self.pieces:
+            found = [[*e.ids, end] for e in self.whole.encode_batch([t or "" for t in column.to_pylist()], add_special_tokens=False)]
+            return np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
         w = words(column)
         data, starts, ends, doc = w.data, w.starts, w.ends, w.docs()
         letter, mark = _LETTER[data], _CUT[data]
@@ -219,12 +241,17 @@ def encoder(path: str) -> Encoder:
 # -- the operator ----------------------------------------------------------------------
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, end: int, vocabulary: int) -> DataFrame:
-    """Encode and write; returns (shard, path, n_docs, n_ids) of the shards. A task that runs again writes a new file."""
+def write_shards(docs: DataFrame, folder: str, tokenizer: str, end: int, order: str | None = None) -> DataFrame:
+    """Encode and write; returns (shard, path, n_docs, n_ids) of the shards. A task that runs again writes a new file.
+
+    An id takes as many bits as the largest of the tokenizer, or `end`, needs. Documents go in the order of the
+    column `order`, or of their ids.
+    """
+    bits = width(max(encoder(tokenizer).vocabulary, end + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        out = ShardWriter(width(vocabulary))
+        out = ShardWriter(bits)
         for b in slices(batches):
             ids, lengths = encoder(tokenizer).encode(b.column("text"), end)
             out.add(b.column("doc_id").cast(pa.int64()), ids, lengths)
@@ -234,8 +261,10 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end: int, vocabul
                 f.write(part)
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([path]), pa.array([sum(map(len, out.ids))], pa.int64()), pa.array([out.n], pa.int64())], ["shard", "path", "n_docs", "n_ids"])
 
-    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return kept(dealt.mapInArrow(run, "shard int, path string, n_docs long, n_ids long"), "shards")
+    # rows that tie go by their texts' hashes, of a fixed size as ranges are drawn on the driver, and so are split
+    by = [*([order] if order else []), "doc_id", "tie"]
+    dealt = docs.select(*by[:-1], "text", F.md5("text").alias("tie")).repartitionByRange(*by).sortWithinPartitions(*by)
+    return kept(dealt.select("doc_id", "text").mapInArrow(run, "shard int, path string, n_docs long, n_ids long"), "shards")
 
 
 def read_shards(shards: DataFrame, doc_id: str = "long") -> DataFrame:
@@ -262,10 +291,13 @@ def read_shards(shards: DataFrame, doc_id: str = "long") -> DataFrame:
     return based.select("path", "base").repartition("path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long").withColumn("doc_id", F.col("doc_id").cast(doc_id))
 
 
-def packed_ids(docs: DataFrame, tokenizer: str, end: int = 2, vocabulary: int = 49_408) -> DataFrame:
+def packed_ids(docs: DataFrame, tokenizer: str, end: int = 2, order: str | None = None) -> DataFrame:
     """Writes the shards of documents(doc_id, text) and returns what they hold."""
-    folder = new_dir(docs.sparkSession, "bits")
-    return read_shards(write_shards(docs, folder, tokenizer, end, vocabulary), dict(docs.dtypes)["doc_id"])
+    spark = docs.sparkSession
+    folder = new_dir(spark, "bits")
+    shards = write_shards(docs, folder, tokenizer, end, order)
+    until_end(spark, folder)
+    return read_shards(shards, dict(docs.dtypes)["doc_id"])
 
 
 def word_bpe() -> str:

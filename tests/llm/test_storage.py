@@ -58,13 +58,42 @@ def test_packed_rows_against_the_library(spark, frame):
     ids = [None, 5, *range(10, 8 + len(texts))]
     out = packing.packed_ids(frame(texts, ids), packing.word_bpe()).collect()
     tok, start, want = tokenizer(), 0, []
-    for i, t in sorted(zip(ids, texts, strict=True), key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")):
+    for i, t in sorted(zip(ids, texts, strict=True), key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, hashlib.md5((x[1] or "").encode()).hexdigest())):
         x = np.array(tok.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
         want.append((i, start, len(x), zlib.crc32(x.tobytes())))
         start += len(x)
     assert sorted(map(tuple, out), key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
+def test_other_tokenizers_encode_whole_texts(spark, frame, name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, texts = public_tokenizers.path(name), [*ODD[:7], "Two  words", "Ünïcode's <|endoftext|>"]
+    tok = Tokenizer.from_file(path)
+    encoder = packing.encoder(path)
+    assert not encoder.pieces and packing.encoder(packing.word_bpe()).pieces
+    flat, lengths = encoder.encode(pa.array(texts), 2)
+    want = [[*tok.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert flat.tolist() == sum(want, []) and lengths.tolist() == [len(x) for x in want]
+    folder = new_dir(spark, "other-bits")
+    shard = packing.write_shards(frame(texts), folder, path, 2).first()
+    with packing.opened(shard.path) as f:
+        assert packing.Shard(f).bits == packing.width(encoder.vocabulary)
+
+
+def test_ids_that_do_not_fit_are_refused():
+    with pytest.raises(ValueError, match="fit"):
+        packing.pack(np.array([70_000], np.uint32), 16)
+
+
+def test_packing_in_a_given_order(spark):
+    df = spark.createDataFrame([(i, f"text {i}", f"{(i * 7) % 10}") for i in range(10)], "doc_id long, text string, place string")
+    out = packing.packed_ids(df, packing.word_bpe(), order="place").orderBy("start").collect()
+    assert [r.doc_id for r in out] == sorted(range(10), key=lambda i: (i * 7) % 10)
+
+
 def test_packing_nothing(empty):
     assert packing.packed_ids(empty, packing.word_bpe()).count() == 0
 
