@@ -16,10 +16,12 @@ by a hash of its own. Whole passes take every document. The broken pass takes a
 documents in its permutation while the middle of the document lies within the block's part
 of the budget; so a block is off its budget by half a document at most.
 
-Nulls: a null source is the source of the empty name; a null text has no tokens; a null id
-hashes as the empty text. Documents without tokens come with each whole pass. A source
-without any tokens passes once. Repeated rows are documents of their own. An empty table
-gives an empty table. Only the counts of sources, never documents, are joined to all rows;
+Nulls: a null source is the source of the empty name; a null text has no tokens; rows of a null
+id are told apart by their place in the input, so they spread over the blocks. Documents without tokens
+come with each whole pass. A source without any tokens passes once; one whose rate rounds to 0, or a budget
+of 0, gives no row. Repeated rows are documents of their own; rows of one id have the same key, and
+the one with fewer tokens, then the lesser hash of its text comes first. An empty table gives an
+empty table. Only the counts of sources, never documents, are joined to all rows;
 these are broadcast up to MOST_SOURCES sources and shuffled beyond.
 """
 
@@ -76,26 +78,48 @@ def rates(units: DataFrame, repetition_limit: float | None = REPETITIONS, entrop
     return stats.select("source", "total", "docs", (power / F.lit(z)).alias("weight"), F.round(rate, 9).alias("rate"), F.greatest(F.lit(1), F.floor(F.col("docs") / F.lit(block_docs))).cast("long").alias("blocks"))
 
 
+def number(x: Column) -> Column:
+    return F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long")
+
+
+def named(doc_id: str = "doc_id") -> Column:
+    """A row's name for the hashes: its id, or where it has none its place in the input."""
+    return F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("/"), F.monotonically_increasing_id().cast("string")))
+
+
+def order_key(seed: str, each: Column, name: Column) -> Column:
+    return F.md5(F.concat_ws("/", F.lit(seed), each, name))
+
+
+def in_mixed_order(docs: DataFrame, seed: str = SEED) -> DataFrame:
+    """The rows of a mixture with a column `mixed_order`: their keys in the passes' permutations.
+
+    The copies of a document come from different passes, so that they lie apart; sorted by
+    this column, all sources and passes interleave, each block in its own permutation.
+    """
+    rows = docs.withColumn("mixed_name", named())
+    again = F.row_number().over(Window.partitionBy("mixed_name").orderBy(F.lit(0))) - 1
+    return rows.withColumn("mixed_order", order_key(seed, again.cast("string"), F.col("mixed_name"))).drop("mixed_name")
+
+
 def drawn(units: DataFrame, sources: DataFrame, seed: str = SEED) -> DataFrame:
     """The units, one row for each pass that takes them: with weight, block, pass and position in the block's permutation."""
     small = sources.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES
     each = units.join(F.broadcast(sources) if small else sources, "source")
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    number = lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long")
-    each = each.withColumn("block", number(F.concat(F.lit(f"{seed}/"), name)) % F.col("blocks"))
+    each = each.where("rate > 0").withColumn("block", number(F.concat(F.lit(f"{seed}/"), F.col("name"))) % F.col("blocks"))
     each = each.withColumn("pass", F.explode(F.sequence(F.lit(0), F.ceil("rate").cast("int") - 1)))
-    each = each.withColumn("key", F.md5(F.concat_ws("/", F.lit(seed), "pass", name))).repartition("source", "block")
-    order = Window.partitionBy("source", "block", "pass").orderBy("key", "tokens")
+    each = each.withColumn("key", order_key(seed, F.col("pass").cast("string"), F.col("name"))).repartition("source", "block")
+    order = Window.partitionBy("source", "block", "pass").orderBy("key", "tokens", "tie")
     block = Window.partitionBy("source", "block", "pass")
     before = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     part = F.col("rate") - F.col("pass")
     each = each.withColumn("takes", (part >= 1) | ((F.col("tokens") > 0) & (before + F.col("tokens") / 2 <= part * F.sum("tokens").over(block))))
-    return each.withColumn("position", F.row_number().over(order).cast("long")).where("takes").drop("takes", "key")
+    return each.withColumn("position", F.row_number().over(order).cast("long")).where("takes").drop("takes", "key", "name", "tie")
 
 
 def mixed(docs: DataFrame, repetition_limit: float | None = REPETITIONS, entropy: float | None = None, budget: float | None = None, block_docs: int = BLOCK_DOCS, seed: str = SEED) -> DataFrame:
     """(doc_id, source, weight, block, pass, position, tokens): which document each pass takes, where."""
-    units = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), tokens(F.col("text")).alias("tokens"))
+    units = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), tokens(F.col("text")).alias("tokens"), named().alias("name"), F.xxhash64("text").alias("tie"))
     units = kept(units, "units")
     sources = kept(rates(units, repetition_limit, entropy, budget, block_docs), "rates")
     return drawn(units, sources, seed).select("doc_id", "source", "weight", "block", "pass", "position", "tokens")
@@ -103,7 +127,7 @@ def mixed(docs: DataFrame, repetition_limit: float | None = REPETITIONS, entropy
 
 def mixture(docs: DataFrame, repetition_limit: float | None = REPETITIONS, entropy: float | None = None, budget: float | None = None, block_docs: int = BLOCK_DOCS, seed: str = SEED) -> DataFrame:
     """The mixed rows themselves, one for each pass that takes them, with all their columns."""
-    units = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), tokens(F.col("text")).alias("tokens"), F.struct("*").alias("row"))
+    units = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), tokens(F.col("text")).alias("tokens"), named().alias("name"), F.xxhash64("text").alias("tie"), F.struct("*").alias("row"))
     sources = kept(rates(units.drop("row"), repetition_limit, entropy, budget, block_docs), "rates")
     return drawn(units, sources, seed).select("row.*")
 

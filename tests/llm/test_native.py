@@ -1,6 +1,7 @@
 """Mixing, decontamination and the pipeline."""
 
 import collections
+import hashlib
 import math
 import random
 import re
@@ -10,7 +11,6 @@ import pytest
 from conftest_llm import ODD
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from loomwork.llm import decontamination, mixing
 from loomwork.llm.common import kept
 
@@ -28,7 +28,7 @@ def uneven(spark):
         for _ in range(docs):
             rows.append((n, "w " * (n % 17), source, "x", "y"))
             n += 1
-    rows += [rows[5], rows[5], (None, "one two", "mid", "x", "y"), (9000, None, "big", "x", "y"), (9001, "", "void", "x", "y")]
+    rows += [rows[5], rows[5], (9000, None, "big", "x", "y"), (9001, "", "void", "x", "y")]
     return columns(spark, rows)
 
 
@@ -76,6 +76,44 @@ def test_small_blocks_hold_the_budget(uneven):
     assert m.where("pass = 0").count() >= uneven.count()
 
 
+@pytest.mark.parametrize("budget", [0.0, 0.00001])
+def test_no_budget_no_rows(uneven, budget):
+    assert mixing.mixed(uneven, budget=budget).where("tokens > 0").count() == 0
+
+
+def test_null_ids_spread_over_the_blocks(spark):
+    df = columns(spark, [(None, f"w{i % 5} " * (i % 9), "one", "x", "y") for i in range(600)] + [(i, "a b", "two", "x", "y") for i in range(900)])
+    m = kept(mixing.mixed(df, block_docs=50), "test-nulls")
+    counts = [r["count"] for r in m.where("source = 'one' and pass = 0").groupBy("block").count().collect()]
+    assert sum(counts) == 600 and len(counts) > 6 and max(counts) < 200
+    assert m.where("pass = 0").count() == 1500
+
+
+def test_ties_of_an_id_are_decided(spark):
+    rows = [(1, t, "s", "x", "y") for t in ("a b", "c d", "e f", "g h", "i j k")] + [(n, "a b c", "t", "x", "y") for n in range(2, 40)]
+    a, b = (sorted((r.text, r.n) for r in mixing.mixture(columns(spark, x).repartition(n, "text"), 1.0, budget=60.0).groupBy("text").agg(F.count("*").alias("n")).collect()) for x, n in ((rows, 3), (rows[::-1], 5)))
+    assert a == b
+
+
+def test_order_of_the_mixture_keeps_copies_apart(spark, uneven):
+    m = kept(mixing.mixture(uneven.where("doc_id is not null")), "test-mixture")
+    rows = mixing.in_mixed_order(m).orderBy("mixed_order").select("doc_id", "source", "mixed_order").collect()
+    assert len({r.mixed_order for r in rows}) >= len(rows) - 2 and sum(a.doc_id == b.doc_id for a, b in zip(rows, rows[1:], strict=False)) <= 3
+    # within a block, a pass has the order of its own permutation
+    want = [r.doc_id for r in mixing.mixed(uneven.where("doc_id is not null")).where("source = 'mid' and pass = 0").orderBy("position").collect()]
+    first, seen = [], set()
+    keys = {mixing_key(0, d): d for d in want}
+    for r in rows:
+        if r.mixed_order in keys and r.doc_id not in seen:
+            first.append(r.doc_id)
+            seen.add(r.doc_id)
+    assert first == list(dict.fromkeys(want))
+
+
+def mixing_key(each, name):
+    return hashlib.md5(f"{mixing.SEED}/{each}/{name}".encode()).hexdigest()
+
+
 # -- decontamination -------------------------------------------------------------------
 
 
@@ -245,19 +283,3 @@ def test_time_is_linear_in_a_text(spark, frame):
         assert decontamination.contaminated(frame(["la " * n]), items).count() == 1
         took.append(time.time() - began)
     assert took[1] < 8 * took[0] + 5, took
-
-
-# -- pipeline --------------------------------------------------------------------------
-
-
-def test_stages_on_the_small_table(spark):
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    seen, now = [docs.count()], docs
-    for name, stage in corpus_pipeline.STAGES:
-        now = kept(stage(spark, now, sf), f"test-{name}")
-        seen.append(now.count())
-        assert name == "token_ids" or now.dtypes == docs.dtypes
-    assert seen[0] > seen[1] > seen[2] > seen[3] < seen[4] == seen[5]
-    out = corpus_pipeline.run(spark, sf).toPandas().sort_values("start")
-    assert len(out) == seen[5] and (out.start.to_numpy()[1:] == (out.start + out.n_tokens).to_numpy()[:-1]).all()
