@@ -43,6 +43,7 @@ from loomwork.llm.fmindex import FmIndex
 from loomwork.llm.text import gram_mask, grams, mix, slices, words
 
 WIDTH, GRAM, HOT, SHARD_WORDS = 35, 12, 1000, 250_000
+MOST_MASKS = 1_000_000
 PLACE = 28  # bits for a place within a slice, in the order of minimizers
 
 
@@ -166,7 +167,9 @@ def _counted(segments: DataFrame) -> DataFrame:
     twice = kept(each.groupBy("window").agg(F.count("*").alias("times")).where("times > 1").select("window"), "twice")
     some = each.where("n = 1").join(twice, "window").groupBy("key").agg(F.bit_or(bits(F.col("place"))).alias("mask"))
     masks = kept(contents.where("n > 1").select("key", (bits(F.size("windows")) - 1).alias("mask")).union(some), "masks")
-    return segments.join(masks, "key").select("text_key", "at", "mask")
+    # a content may have any number of segments, so these aren't dealt by it: masks are of a fixed size and counted
+    few = masks.count() <= MOST_MASKS
+    return segments.join(F.broadcast(masks) if few else masks, "key").select("text_key", "at", "mask")
 
 
 def _cut(width: int):
