@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from loomwork.shared import new_folder, until_end
 from loomwork.tables import load
 
 
 def through(df: DataFrame, form: str, partition_by: str | None = None, **options) -> DataFrame:
     """The table, written as `form` under the shared folder and read back."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loomwork-")
-    path = f"{base.rstrip('/')}/{form}-{uuid.uuid4().hex}"
+    path = new_folder(spark, form)
     writer = df.write.format(form).options(**options)
     (writer.partitionBy(partition_by) if partition_by else writer).save(path)
+    until_end(spark, path)
     return spark.read.format(form).schema(df.schema).options(**options).load(path).select(df.columns)
 
 

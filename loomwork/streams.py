@@ -6,13 +6,11 @@ the sink's rows. The sink is a Parquet folder, so results don't pass through the
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwork.shared import new_folder, until_end
 from loomwork.tables import load
 
 
@@ -23,13 +21,13 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("ts", F.col("ts").cast(T.TimestampType()))
 
 
-def finished(stream: DataFrame, last: float | None = None) -> DataFrame:
+def finished(stream: DataFrame) -> DataFrame:
     """Run an append-mode query over all that is there now; its rows."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loomwork-")
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "stream")
     query = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).outputMode("append").start()
     query.awaitTermination()
+    until_end(spark, folder)
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
