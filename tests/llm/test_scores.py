@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loomwork.llm.language import Chain, Lexicon, fit, languages, op5_language
 from loomwork.llm.quality import op9_quality, quality
+from loomwork.llm import quality as quality_model
 from loomwork.llm import toxicity as kn
 from loomwork.llm.toxicity import op1_toxicity, toxicity, without_toxic
 
@@ -92,6 +93,38 @@ def test_quality_on_held_out_rows(spark):
     assert (r.predicted == r.quality).mean() > 0.98
 
 
+def test_bradley_terry_against_plain_gradient_descent():
+    """The same pairs, the loss written out pair by pair, and plain descent to its least."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 3)) * [1, 5, 0.2] + 3
+    y = (x @ [1, -0.4, 3] + rng.normal(size=40) > np.median(x @ [1, -0.4, 3])).astype(int)
+    mean, scale, w, threshold = quality_model.rank(x, y, rivals=4, ridge=0.05)
+    z = [[(v - m) / s for v, m, s in zip(r, x.mean(0), x.std(0), strict=True)] for r in x]
+    good, bad = [i for i in range(40) if y[i]], [i for i in range(40) if not y[i]]
+    picked = np.random.default_rng(5).choice(np.array(good), 4 * len(bad))
+    pairs = [(int(g), bad[i // 4]) for i, g in enumerate(picked)]
+    v = [0.0] * 3
+    for _ in range(4000):
+        grad = [0.05 * a for a in v]
+        for g, b in pairs:
+            d = [p - q for p, q in zip(z[g], z[b], strict=True)]
+            lose = 1 / (1 + np.exp(sum(a * c for a, c in zip(v, d, strict=True))))
+            grad = [a - lose * c / len(pairs) for a, c in zip(grad, d, strict=True)]
+        v = [a - 0.3 * c for a, c in zip(v, grad, strict=True)]
+        if max(map(abs, grad)) < 1e-9:
+            break
+    assert np.allclose(w, v, atol=1e-4)
+    scores = sorted(sum(a * c for a, c in zip(v, r, strict=True)) for r in z)
+    assert abs(np.mean(np.array(scores) < threshold) - len(bad) / 40) < 0.05
+
+
+def test_quality_does_not_depend_on_the_order_of_rows(spark, prose):
+    df = spark.createDataFrame([(i, prose(20 + i % 7, i) if i % 3 else f"{prose(9, i)} ### $$$ " * 3) for i in range(90)], "doc_id long, text string")
+    label = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(90)], "doc_id long, quality int")
+    a, b = ({r.doc_id: r.score for r in quality(d, label).collect()} for d in (df, df.repartition(7, "text")))
+    assert a == pytest.approx(b, abs=1e-8)
+
+
 def test_language_on_held_out_rows(spark):
     r = op5_language(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
     print(f"language, held out: {(r.lang_pred == r.lang).mean():.4f} of {len(r)} right")
