@@ -21,6 +21,7 @@ directory without members reads as an empty table.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import io
 import json
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from loomwork.llm.common import new_dir, table
+from loomwork.llm.common import new_dir, table, until_end
 from loomwork.llm.files import opened, resolve
 from loomwork.llm.text import slices
 
@@ -198,7 +199,12 @@ class MediaWriter(DataSourceArrowWriter):
             f.write(json.dumps([path for m in messages if m is not None for path, _ in m.archives]).encode())
 
     def abort(self, messages) -> None:
-        """Archives without a manifest are never read."""
+        """Archives without a manifest are never read; those of tasks that had finished go, as far as they can be reached."""
+        for m in messages:
+            for path, _ in m.archives if m is not None else ():
+                with contextlib.suppress(OSError):
+                    fs, at = resolve(path)
+                    fs.delete_file(at)
 
 
 class MediaReader(DataSourceReader):
@@ -222,9 +228,7 @@ class MediaReader(DataSourceReader):
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
-        with opened(partition.path) as f:
-            with zipfile.ZipFile(f) as z:
-                members = [m for m in z.infolist() if partition.begin <= m.header_offset < partition.end]
+        members = [m for m in self.directory(partition.path) if partition.begin <= m.header_offset < partition.end]
         rows, size = [], 0
         try:
             for m in members:
@@ -259,23 +263,37 @@ class MediaReader(DataSourceReader):
             self._open = fs.open_input_file(at)
         self._open.seek(offset)
         head = self._open.read(30)
-        if head[:4] != b"PK\x03\x04":
+        if len(head) < 30 or head[:4] != b"PK\x03\x04":
             raise OSError("no member begins here")
         names, extra = struct.unpack("<HH", head[26:30])
         self._open.seek(offset + 30 + names + extra)
         return self._open.read(size)
 
-    def member(self, path: str, m: zipfile.ZipInfo) -> tuple[bytes, int]:
+    def again(self, what: str, attempt_once):
+        """The result of the first attempt that doesn't fail, and its number."""
         for attempt in range(1, self.retries + 2):
             try:
-                data = self.fetch(path, m.header_offset, m.compress_size)
-                if len(data) == m.file_size and zlib.crc32(data) == m.CRC:
-                    return data, attempt
-                last = OSError("its checksum is wrong")
-            except OSError as e:
+                return attempt_once(), attempt
+            except (OSError, zipfile.BadZipFile) as e:
                 last = e
             self.leave()  # the next attempt opens the archive anew
-        raise OSError(f"{path}: the member at {m.header_offset} can't be read after {self.retries + 1} attempts: {last}")
+        raise OSError(f"{what} can't be read after {self.retries + 1} attempts: {last}")
+
+    def directory(self, path: str) -> list[zipfile.ZipInfo]:
+        def once() -> list[zipfile.ZipInfo]:
+            with opened(path) as f, zipfile.ZipFile(f) as z:
+                return z.infolist()
+
+        return self.again(f"{path}: the directory", once)[0]
+
+    def member(self, path: str, m: zipfile.ZipInfo) -> tuple[bytes, int]:
+        def once() -> bytes:
+            data = self.fetch(path, m.header_offset, m.compress_size)
+            if len(data) != m.file_size or zlib.crc32(data) != m.CRC:
+                raise OSError("its checksum is wrong")
+            return data
+
+        return self.again(f"{path}: the member at {m.header_offset}", once)
 
 
 # -- the operator ----------------------------------------------------------------------
@@ -315,4 +333,5 @@ def media_features(media: DataFrame) -> DataFrame:
 def op2_media(spark, sf_dir: str) -> DataFrame:
     folder = new_dir(spark, "media")
     write_media(table(spark, sf_dir, "documents"), folder)
+    until_end(spark, folder)
     return media_features(read_media(spark, folder))

@@ -145,6 +145,80 @@ def test_members_are_retried_by_offset(tmp_path, monkeypatch):
         list(reader.read(media.ByteRange(path, 0, 1 << 30)))
 
 
+@pytest.mark.parametrize("cut", [0, 4, 12, 29])
+def test_a_short_header_is_tried_again(tmp_path, monkeypatch, cut):
+    writer = media.ArchiveWriter(str(tmp_path), 1 << 20)
+    writer.add(1, media.encode(b"x"))
+    writer.close()
+    path, _ = writer.done[0]
+    reader, real, calls = media.MediaReader({"path": str(tmp_path)}), media.resolve, []
+
+    class Short:
+        def __init__(self, file):
+            self.file = file
+
+        def __getattr__(self, name):
+            return getattr(self.file, name)
+
+        def read(self, n):
+            calls.append(n)
+            return self.file.read(n)[:cut] if len(calls) == 1 else self.file.read(n)
+
+    class Store:
+        def open_input_file(self, at):
+            return Short(real(path)[0].open_input_file(at))
+
+    members = reader.directory(path)
+    monkeypatch.setattr(media, "resolve", lambda uri: (Store(), real(uri)[1]))
+    assert reader.member(path, members[0]) == (media.encode(b"x"), 2)
+
+
+def test_the_directory_is_tried_again_and_aborted_archives_go(tmp_path, monkeypatch):
+    writer = media.ArchiveWriter(str(tmp_path), 1 << 20)
+    writer.add(1, media.encode(b"x"))
+    writer.close()
+    path, _ = writer.done[0]
+    reader, real, calls = media.MediaReader({"path": str(tmp_path)}), media.opened, []
+
+    def flaky(uri, mode="r"):
+        calls.append(uri)
+        if len(calls) < 3:
+            raise OSError("not there yet")
+        return real(uri, mode)
+
+    monkeypatch.setattr(media, "opened", flaky)
+    assert len(reader.directory(path)) == 1 and len(calls) == 3
+    media.MediaWriter({"path": str(tmp_path)}).abort([None, media.Committed(writer.done)])
+    assert not list(tmp_path.glob("*.zip"))
+
+
+def test_features_and_stored_form_by_hand(spark, frame):
+    """From the PNG's chunks and plain sums."""
+    folder, texts = new_dir(spark, "media-hand"), ["", "abc" * 50, "é" * 40]
+    media.write_media(frame(texts), folder)
+    read = media.read_media(spark, folder)
+    stored = {r.doc_id: bytes(r.media) for r in read.collect()}
+    for r in media.media_features(read).collect():
+        png, raw = stored[r.doc_id], texts[r.doc_id].encode()
+        at, chunks = 8, {}
+        while at < len(png):
+            n = int.from_bytes(png[at : at + 4], "big")
+            chunks[png[at + 4 : at + 8]] = png[at + 8 : at + 8 + n]
+            at += 12 + n
+        lines = zlib.decompress(chunks[b"IDAT"])
+        rows = [list(lines[i + 1 : i + 65]) for i in range(0, len(lines), 65)]
+        flat = sum(rows, [])
+        assert bytes(flat[: len(raw)]) == raw and not any(flat[len(raw) :])
+        mean = sum(flat) / len(flat)
+        sd = (sum((x - mean) ** 2 for x in flat) / len(flat)) ** 0.5
+        step = sum(abs(a - b) for row in rows for a, b in zip(row, row[1:], strict=False)) / (63 * len(rows))
+        entropy = -sum(p * np.log2(p) for p in (flat.count(x) / len(flat) for x in set(flat)))
+        got = dict(x.split("=") for x in r.feature.split(";"))
+        want = {"h": len(rows), "mean": mean, "sd": sd, "entropy": entropy, "zero": flat.count(0) / len(flat), "step": step}
+        assert got.keys() == want.keys() and all(abs(float(got[k]) - want[k]) < 1e-4 for k in want)
+        assert r.media_bytes == len(png) and r.media_sha256 == hashlib.sha256(png).hexdigest()
+
+
 def test_no_media(spark, empty):
     folder = new_dir(spark, "media-none")
     media.write_media(empty, folder)
