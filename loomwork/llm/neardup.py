@@ -11,7 +11,8 @@ documents are over all documents, copies included.
    half of RARE * N and 2 at most. So a partition reports the few shingles that stand out in it, and
    what can still reach RARE * N is counted exactly in a second pass. At most 2 / RARE
    times the mean number of shingles can, so that list is broadcast: it doesn't grow with the
-   number of documents, but does with their mean length.
+   number of documents, but does with their mean length; beyond MOST_FREQUENT entries, which are counted
+   first, all shingles are shuffled to be joined with it instead, with the same results.
 2. Signatures. One pass: BANDS * ROWS samples for each text. The random values of a shingle
    in a sample come from a table of 16,384 draws, indexed by a hash of it; ties go by the hash.
 3. Candidates. Texts that share a band are joined to the band's least text, never to each
@@ -47,6 +48,7 @@ from loomwork.llm.text import gram_mask, grams, mix, slices, sums, words
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 5
 RARE, CHUNK, RUN = 1e-3, 8192, 500_000
 GROUP_DOCS, GROUP_SHINGLES, LEADERS, BLOCK_DOCS = 256, 1_000_000, 64, 512
+MOST_FREQUENT = 2_000_000
 LEVEL_BITS = 14
 LEVELS = 1 << LEVEL_BITS
 
@@ -166,23 +168,59 @@ class Weights:
         return (w * count).astype(np.float32)
 
 
-def weights(docs: DataFrame) -> Weights:
-    """Two passes over all texts, and one that counts the rows of each partition."""
-    spark, rare = docs.sparkSession, RARE
-    n = docs.count()
+def stand_out(docs: DataFrame, n: int) -> DataFrame:
+    """(shingle) of all that may be frequent, written: one pass, and one that counts the rows of each partition."""
+    rare = RARE
     texts = docs.select("text").coalesce(max(1, n // CHUNK))
     sizes = dict(texts.groupBy(F.spark_partition_id().alias("part")).count().toArrow().to_pandas().itertuples(index=False, name=None))
-    before = {p: sum(v for q, v in sizes.items() if q < p) for p in sizes}
+    before = docs.sparkSession.sparkContext.broadcast({p: sum(v for q, v in sizes.items() if q < p) for p in sizes})
     # of so few documents that fewer than 8 make a shingle frequent, all counts are exact
     share = rare / 4 if rare * n >= 8 else 0.0
     need = max(2, math.ceil((rare - 2 * share) * n) - 2)
-    stand = texts.mapInArrow(_stand_out(share, spark.sparkContext.broadcast(before)), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    near = stand.where(F.col("n") >= need).select("shingle").toArrow()["shingle"].to_numpy()
-    if not len(near):
-        return Weights(np.zeros(0, np.uint64), np.zeros(0), n, rare)
-    shared = spark.sparkContext.broadcast(np.sort(near.view(np.uint64)))
-    exact = docs.select("text").mapInArrow(_among(shared), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, rare * n)).toArrow()
-    return Weights(exact["shingle"].to_numpy().view(np.uint64), exact["n"].to_numpy(), n, rare)
+    stand = texts.mapInArrow(_stand_out(share, before), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    return kept(stand.where(F.col("n") >= need).select("shingle"), "near")
+
+
+def weights(docs: DataFrame, near: DataFrame, n: int) -> Weights:
+    """Exact counts of the shingles in near, a broadcast list, in a second pass over all texts."""
+    keys = near.toArrow()["shingle"].to_numpy()
+    if not len(keys):
+        return Weights(np.zeros(0, np.uint64), np.zeros(0), n, RARE)
+    shared = docs.sparkSession.sparkContext.broadcast(np.sort(keys.view(np.uint64)))
+    exact = docs.select("text").mapInArrow(_among(shared), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, RARE * n)).toArrow()
+    return Weights(exact["shingle"].to_numpy().view(np.uint64), exact["n"].to_numpy(), n, RARE)
+
+
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each different shingle of a text."""
+    for b in slices(batches):
+        g, count, first = shingles(b.column("text"))
+        rest = [c for c in b.schema.names if c != "text"]
+        of = pa.array(np.repeat(np.arange(b.num_rows), np.diff(first)))
+        yield pa.RecordBatch.from_arrays([*(b.column(c).take(of) for c in rest), pa.array(g.view(np.int64)), pa.array(count.astype(np.int64))], [*rest, "shingle", "n"])
+
+
+def shuffled_vectors(rows: DataFrame, near: DataFrame, n: int) -> DataFrame:
+    """(text_key, g, w) of each different text of rows(text_key, text): what _vectors gives, with the frequent
+    shingles joined by a shuffle. For texts so long that their list is too large to be broadcast."""
+    texts = rows.groupBy("text_key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    each = kept(texts.select("text_key", "copies", "text").mapInArrow(_exploded, "text_key binary, copies long, shingle long, n long"), "shingles")
+    df = each.join(near, "shingle").groupBy("shingle").agg(F.sum("copies").alias("df")).where(F.col("df") >= max(2, RARE * n))
+    plain = Weights(np.zeros(0, np.uint64), np.zeros(0), n, RARE)
+    scale = F.lit(math.log(1 / RARE))
+    weight = F.coalesce(1 + F.least(F.lit(1.0), F.log(F.greatest(F.lit(n) / F.col("df"), F.lit(1.0))) / scale).cast("float"), F.lit(plain.other).cast("float"))
+    joined = each.join(df, "shingle", "left").select("text_key", F.struct("shingle", (weight * F.col("n")).cast("float").alias("w")).alias("s"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, some in zip(b.column("text_key"), b.column("all"), strict=True):
+                g = some.values.field("shingle").to_numpy().view(np.uint64)
+                order = np.argsort(g)
+                w = some.values.field("w").to_numpy()[order]
+                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()], pa.binary()), pa.array([g[order].tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary())], ["text_key", "g", "w"])
+
+    some = joined.groupBy("text_key").agg(F.collect_list("s").alias("all")).mapInArrow(packed, "text_key binary, g binary, w binary")
+    return kept(texts.select("text_key").join(some, "text_key", "left").select("text_key", *(F.coalesce(c, F.lit(b"")).alias(c) for c in ("g", "w"))), "weighed")
 
 
 # -- consistent weighted sampling ------------------------------------------------------
@@ -232,12 +270,22 @@ class Sampler:
         return out
 
 
-def _signatures(weight):
+def _signatures(weight, other: float):
+    """Of rows with their text, or with g and w where no weights are given."""
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in slices(batches, "text" if weight else "g"):
+            if weight:
+                g, count, first = shingles(b.column("text"))
+                yield b, g, weight.value.of(g, count), first
+            else:
+                g, w = ([np.frombuffer(x, kind) for x in b.column(c).to_pylist()] for c, kind in (("g", np.uint64), ("w", np.float32)))
+                yield b, np.concatenate(g), np.concatenate(w), np.concatenate([[0], np.cumsum([len(x) for x in g])])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(weight.value.other)
-        for b in slices(batches):
-            g, count, first = shingles(b.column("text"))
-            bands = sampler.bands(g, weight.value.of(g, count), first)
+        sampler = Sampler(other)
+        for b, g, w, first in vectors(batches):
+            bands = sampler.bands(g, w, first)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(np.diff(first)), *(pa.array(np.ascontiguousarray(bands[:, i]).view(np.int64)) for i in range(BANDS))], ["doc_id", "text_key", "shingles", *(f"b{i}" for i in range(BANDS))])
 
     return run
@@ -321,10 +369,17 @@ def duplicates(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.unhex(F.md5("text")))
-    weight = spark.sparkContext.broadcast(weights(rows))
+    n = rows.count()
+    near = stand_out(rows, n)
+    few = near.count() <= MOST_FREQUENT
+    weight = spark.sparkContext.broadcast(weights(rows, near, n)) if few else None
+    other = Weights(np.zeros(0, np.uint64), np.zeros(0), n, RARE).other
     bands = [f"b{i}" for i in range(BANDS)]
     kind = dict(docs.dtypes)["doc_id"]
-    signed = kept(rows.mapInArrow(_signatures(weight), f"doc_id {kind}, text_key binary, shingles long, " + ", ".join(f"{b} long" for b in bands)), "signatures")
+    form = f"doc_id {kind}, text_key binary, shingles long, " + ", ".join(f"{b} long" for b in bands)
+    weighed = None if few else shuffled_vectors(rows, near, n)
+    with_vectors = rows if few else rows.select("doc_id", "text_key").join(weighed, "text_key").select("doc_id", "text_key", "g", "w")
+    signed = kept(with_vectors.mapInArrow(_signatures(weight, other), form), "signatures")
 
     # copies fall together here; each different text goes on once
     texts = kept(signed.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.max("shingles").alias("shingles"), *(F.max(b).alias(b) for b in bands)), "texts")
@@ -342,8 +397,11 @@ def duplicates(docs: DataFrame) -> DataFrame:
     # one row of each text, combined before the shuffle. What goes with it is joined before the shingles
     # are made, so that these are shuffled once, to their group
     asked = members.join(sizes, "batch").select("text_key", "batch", "large", "docs", "total")
-    once = rows.groupBy("text_key").agg(F.first("text").alias("text")).join(asked.hint("merge"), "text_key")
-    vectors = once.select("batch", "large", "docs", "total", "text_key", "text").mapInArrow(_vectors(weight), "batch binary, large boolean, docs long, total long, text_key binary, g binary, w binary")
+    if few:
+        once = rows.groupBy("text_key").agg(F.first("text").alias("text")).join(asked.hint("merge"), "text_key")
+        vectors = once.select("batch", "large", "docs", "total", "text_key", "text").mapInArrow(_vectors(weight), "batch binary, large boolean, docs long, total long, text_key binary, g binary, w binary")
+    else:
+        vectors = weighed.join(asked, "text_key")
     vectors = kept(vectors, "vectors")
 
     small = _compare(vectors.where("not large").select("batch", "text_key", "g", "w", F.lit(True).alias("asks")), "batch")

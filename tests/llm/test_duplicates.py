@@ -49,7 +49,7 @@ def repeats(rows, width=35):
 @pytest.mark.parametrize("hot", [1000, 3])
 def test_repeats_against_plain_python(frame, prose, hot):
     rng, passage = random.Random(4), [prose(n, n) for n in (34, 35, 36, 50, 90)]
-    texts = ODD[:-1] + ["la " * 200, "do re mi " * 50, prose(35, 1), prose(35, 1)]
+    texts = ODD + ["la " * 200, "do re mi " * 50, prose(35, 1), prose(35, 1)]
     for i in range(80):
         parts = [prose(rng.randint(0, 60), 100 + i)]
         for p in rng.sample(passage, rng.randint(0, 3)):
@@ -102,7 +102,7 @@ def changed(text, n, seed):
 
 
 def corpus(prose):
-    texts = ODD[:-1] + ["", "a b c", "a  b c", "x y z w v", "x y z w v u"]
+    texts = ODD + ["", "a b c", "a  b c", "x y z w v", "x y z w v u"]
     for i in range(12):
         base = prose(150, i)
         texts += [base, base, base.replace(" ", "\n"), *(changed(base, n, i * 10 + n) for n in (1, 2, 3, 6, 20)), prose(150, 500 + i)]
@@ -157,11 +157,27 @@ def test_samples_agree_as_often_as_texts_are_similar():
     assert abs(np.mean(np.array(drawn[0]) == np.array(drawn[1])) - want) < 0.15
 
 
+def counted(df):
+    n = df.count()
+    return neardup.weights(df, neardup.stand_out(df, n), n)
+
+
+def test_list_of_frequent_shingles_too_large_to_broadcast(frame, prose, monkeypatch):
+    monkeypatch.setattr(neardup, "RARE", 0.05)
+    texts = [*ODD, *(f"{prose(40, 1)} {prose(30, 50 + i // 3)} {prose(i % 3, 9 + i)}" for i in range(90)), "", "one"]
+    df = frame(texts)
+    found = [sorted(map(tuple, neardup.duplicates(df).select("doc_id", "class_id", "texts").collect()))]
+    assert len(counted(df).keys) > 10
+    monkeypatch.setattr(neardup, "MOST_FREQUENT", 0)
+    found.append(sorted(map(tuple, neardup.duplicates(df).select("doc_id", "class_id", "texts").collect())))
+    assert found[0] == found[1] and [c for _, c, _ in found[0]] == classes(list(enumerate(texts)))
+
+
 def test_frequent_shingles_are_counted_exactly(frame, prose, monkeypatch):
     monkeypatch.setattr(neardup, "RARE", 0.1)
     monkeypatch.setattr(neardup, "CHUNK", 50)
     texts = [prose(30, 1) + " " + prose(20, 50 + i) if i % 3 == 0 else prose(40, 50 + i) for i in range(300)]
-    w = neardup.weights(frame(texts))
+    w = counted(frame(texts))
     assert len(w.keys) == 26 and np.allclose(w.weight, 1 + math.log(3) / math.log(10))
 
 
@@ -192,7 +208,7 @@ def test_lossy_counts_are_short_by_their_allowance_at_most(streams):
 
 
 def test_long_texts_have_the_same_weights(frame, prose):
-    w = neardup.weights(frame([prose(2000, i) for i in range(20)]))
+    w = counted(frame([prose(2000, i) for i in range(20)]))
     assert abs(w.other - (1 + math.log(20) / math.log(1 / neardup.RARE))) < 1e-9
 
 
