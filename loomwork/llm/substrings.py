@@ -17,10 +17,11 @@ of a repeat are in segments of one minimizer, and these go to one shard.
    streams the segments through it: backward search over the wavelet matrix gives how far each
    window's match reaches, and with it the windows that occur twice or more. A segment that
    is there twice as a whole is repeated in all its windows without a search.
-3. A minimizer of more than HOT segments would fill a shard by itself. Its segments are counted
-   by their content instead, combined before the shuffle: one that is there twice is repeated
-   in all its windows. The windows of one segment of each content are then dealt by their own
-   hash and counted.
+3. A minimizer of more than HOT segments would fill a shard by itself. Its segments are cut once
+   more, by minimizers of LONGER-word runs, and counted by their content, combined before the shuffle: one
+   that is there twice is repeated in all its windows. Of each content, one goes to the shard of its
+   longer minimizer and is searched like the others. Only where more than HOT different contents share even
+   that are their windows dealt by their own hash and counted.
 4. The intervals of repeated windows come back to their text, which is cut once.
 
 Copies of a text are handled once: copies of WIDTH words or more are removed whole. Null
@@ -42,7 +43,7 @@ from loomwork.llm.common import kept, table
 from loomwork.llm.fmindex import FmIndex
 from loomwork.llm.text import gram_mask, grams, mix, slices, words
 
-WIDTH, GRAM, HOT, SHARD_WORDS = 35, 12, 1000, 250_000
+WIDTH, GRAM, LONGER, HOT, SHARD_WORDS = 35, 12, 24, 1000, 250_000
 MOST_MASKS = 1_000_000
 PLACE = 28  # bits for a place within a slice, in the order of minimizers
 
@@ -95,8 +96,9 @@ def _flat(column: pa.Array, field: str) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().field(field).to_numpy(zero_copy_only=False), np.repeat(np.arange(len(n)), n)
 
 
-def _contents(width: int):
-    """Live segments: the words for their shard (hot = false), or a hash of the content and one of each window (hot = true)."""
+def _contents(width: int, longer: int):
+    """Live segments: the words for their shard (hot = false), or their parts by longer minimizers, with a hash
+    of the content as key and one of each window (hot = true)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -106,11 +108,20 @@ def _contents(width: int):
             minimizer, hot = _flat(b.column("live"), "minimizer")[0], _flat(b.column("live"), "hot")[0].astype(bool)
             start, count = w.first[row] + at // 256, at % 256
             raw = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+            words_of = lambda starts, counts: [raw[x : x + n + width - 1].tobytes() for x, n in zip(starts.tolist(), counts.tolist(), strict=True)]  # noqa: B023, E731
             cold = np.flatnonzero(~hot)
-            cut = [raw[x : x + n + width - 1].tobytes() for x, n in zip(start[cold].tolist(), count[cold].tolist(), strict=True)]
+            hot = np.flatnonzero(hot)
+            hot = hot[np.argsort(start[hot])]
+            # the windows of hot segments, parted where they or the longer minimizers change
             n = count[hot]
-            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            begin = np.repeat(start[hot], n) + step
+            begin = np.repeat(start[hot] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            first, _, second, _ = segments(h, w.first, width, longer)
+            of, part = np.repeat(np.arange(len(hot)), n), np.searchsorted(first, begin, "right") - 1
+            new = np.ones(len(begin), bool)
+            new[1:] = (of[1:] != of[:-1]) | (part[1:] != part[:-1])
+            new = np.flatnonzero(new)
+            n, sub, home = np.diff(np.append(new, len(begin))), second[part[new]], row[hot[of[new]]]
+            step = np.arange(len(begin)) - np.repeat(new, n)
             value = h[begin]
             for j in range(1, width if len(begin) else 1):
                 value = mix(value * np.uint64(0x9E3779B97F4A7C15) + h[begin + j])
@@ -118,11 +129,16 @@ def _contents(width: int):
             ends = np.cumsum(n)
             whole = mix(total[ends] - total[ends - n] + n.astype(np.uint64))
             windows = pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(len(cold) + 1), ends]).astype(np.int32)), pa.array(value.view(np.int64)))
-            order = np.concatenate([cold, np.flatnonzero(hot)])
-            yield pa.RecordBatch.from_arrays(
-                [b.column("text_key").take(pa.array(row[order])), pa.array(np.concatenate([minimizer[cold], whole.view(np.int64)])), pa.array(at[order]), pa.array(hot[order]), pa.array([*cut, *[None] * len(n)], pa.binary()), windows],
-                ["text_key", "key", "at", "hot", "words", "windows"],
-            )
+            columns = {
+                "text_key": b.column("text_key").take(pa.array(np.concatenate([row[cold], home]))),
+                "key": np.concatenate([minimizer[cold], whole.view(np.int64)]),
+                "at": np.concatenate([at[cold], (begin[new] - w.first[home]) * 256 + n]),
+                "hot": np.arange(len(cold) + len(new)) >= len(cold),
+                "sub": np.concatenate([minimizer[cold], sub.view(np.int64)]),
+                "words": pa.array(words_of(start[cold], count[cold]) + words_of(begin[new], n), pa.binary()),
+                "windows": windows,
+            }
+            yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns.values()], list(columns))
 
     return run
 
@@ -159,14 +175,22 @@ def _search(width: int):
     return run
 
 
-def _counted(segments: DataFrame) -> DataFrame:
-    """(text_key, at, mask) of segments(text_key, key, at, windows) with repeated windows, by counting."""
+def _of_hot(segments: DataFrame, width: int, hot: int) -> DataFrame:
+    """(text_key, at, mask) of segments(text_key, key, at, sub, words, windows) with repeated windows."""
     bits = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n)
-    contents = kept(segments.groupBy("key").agg(F.count("*").alias("n"), F.first("windows").alias("windows")), "contents")
-    each = contents.select("key", "n", F.posexplode("windows").alias("place", "window"))
-    twice = kept(each.groupBy("window").agg(F.count("*").alias("times")).where("times > 1").select("window"), "twice")
-    some = each.where("n = 1").join(twice, "window").groupBy("key").agg(F.bit_or(bits(F.col("place"))).alias("mask"))
-    masks = kept(contents.where("n > 1").select("key", (bits(F.size("windows")) - 1).alias("mask")).union(some), "masks")
+    contents = segments.groupBy("key").agg(F.count("*").alias("n"), F.first(F.struct("sub", "words", "windows")).alias("c"))
+    contents = kept(contents.select("key", "n", "c.*"), "contents")
+    sizes = kept(contents.groupBy("sub").agg(F.count("*").alias("m"), F.sum(F.octet_length("words") / 5).alias("total")), "subs")
+    total = sizes.where(f"m between 2 and {hot}").agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    several = contents.join(sizes.where("m > 1").select("sub", "m"), "sub")
+    shard = F.pmod(F.xxhash64("sub"), F.lit(max(8, round(total / SHARD_WORDS)))).cast("int").alias("shard")
+    searched = several.where(F.col("m") <= hot).select(shard, F.col("key").cast("string").cast("binary").alias("text_key"), F.lit(0).cast("long").alias("at"), "words")
+    searched = searched.groupBy("shard").applyInArrow(_search(width), "text_key binary, at long, mask long").select(F.col("text_key").cast("string").cast("long").alias("key"), "mask")
+    each = several.where(F.col("m") > hot).select("key", F.posexplode("windows").alias("place", "window"))
+    twice = each.groupBy("window").agg(F.count("*").alias("times")).where("times > 1").select("window")
+    counted = each.join(twice, "window").groupBy("key").agg(F.bit_or(bits(F.col("place"))).alias("mask"))
+    copied = contents.where("n > 1").select("key", (bits(F.size("windows")) - 1).alias("mask"))
+    masks = kept(copied.union(searched).union(counted).groupBy("key").agg(F.bit_or("mask").alias("mask")), "masks")
     # a content may have any number of segments, so these aren't dealt by it: masks are of a fixed size and counted
     few = masks.count() <= MOST_MASKS
     return segments.join(F.broadcast(masks) if few else masks, "key").select("text_key", "at", "mask")
@@ -204,7 +228,7 @@ def _cut(width: int):
     return run
 
 
-def without_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def without_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, longer: int = LONGER, hot: int = HOT) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row of documents(doc_id, text)."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.unhex(F.md5("text")))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -220,11 +244,11 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot:
 
     # both uses of the texts share one shuffle
     texts = rows.groupBy("text_key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    contents = texts.join(live, "text_key").select("text_key", "text", "live").mapInArrow(_contents(width), "text_key binary, key long, at long, hot boolean, words binary, windows array<long>")
+    contents = texts.join(live, "text_key").select("text_key", "text", "live").mapInArrow(_contents(width, longer), "text_key binary, key long, at long, hot boolean, sub long, words binary, windows array<long>")
     cold = contents.where("not hot").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
     found = cold.select("shard", "text_key", "at", "words").groupBy("shard").applyInArrow(_search(width), "text_key binary, at long, mask long")
     if live.where(F.exists("live", lambda x: x["hot"])).limit(1).count():
-        found = found.union(_counted(kept(contents.where("hot").select("text_key", "key", "at", "windows"), "hot")))
+        found = found.union(_of_hot(kept(contents.where("hot").select("text_key", "key", "at", "sub", "words", "windows"), "hot"), width, hot))
     found = found.groupBy("text_key").agg(F.collect_list(F.struct("at", "mask")).alias("found"))
     results = texts.join(found, "text_key", "left").select("text_key", "text", "copies", "found").mapInArrow(_cut(width), "text_key binary, n_words long, n_removed long, kept_sha256 string")
     results = kept(results, "cut")
