@@ -242,7 +242,7 @@ def test_two_words_inserted_between_long_ones(spark, frame):
 @pytest.fixture(scope="module")
 def altered(prose):
     """Passages of the items with words replaced, left out or put in, so that many lie close to 0.8."""
-    listed, texts = [(i, prose(random.Random(i).randint(14, 58), 50_000 + i)) for i in range(60)], []
+    listed, texts = [(i, prose(random.Random(i).randint(14, 58), 50_000 + i)) for i in range(30)], []
     for i, t in listed:
         for k in range(6):
             rng, w = random.Random(i * 10 + k), t.split()
@@ -252,7 +252,7 @@ def altered(prose):
     return texts, listed
 
 
-def test_recall_on_altered_passages_and_selection_of_the_index(spark, frame, altered):
+def test_recall_on_altered_passages_and_selection_of_the_index(spark, frame, prose, altered):
     texts, listed = altered
     want = leaked(list(enumerate(texts)), listed)
     listed = listed + [(1000 + i, prose(random.Random(i).randint(14, 58), 90_000 + i)) for i in range(500)]  # that nothing holds
