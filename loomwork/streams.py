@@ -1,4 +1,4 @@
-"""The event table as a stream: windows, sessions and dedup under a watermark.
+"""The event table as a stream: windows, sessions, late data, dedup and state of one's own under a watermark.
 
 Each query reads the table with readStream, runs to the end of what is there and returns
 the sink's rows. The sink is a Parquet folder, so results don't pass through the driver.
@@ -6,6 +6,9 @@ the sink's rows. The sink is a Parquet folder, so results don't pass through the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,7 +54,39 @@ def closed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("user_id", F.col("s.start").cast("timestamp_ntz").alias("begins"), F.col("s.end").cast("timestamp_ntz").alias("ends"), "n")
 
 
-QUERIES = {"stream_hourly_counts": hourly_counts, "stream_distinct_events": distinct_events, "stream_closed_sessions": closed_sessions}
+def punctual_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed hours of a stream in which every tenth event comes after all others: those of hours already given out are dropped.
+
+    Three batches: all events in time but the last of them, this last one, the late ones. The last
+    two are judged by the watermark that the first has left.
+    """
+    e = load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast(T.TimestampType()))
+    late = F.col("event_id") % 10 == 0
+    last = e.where(~late).agg(F.max_by("event_id", F.struct("ts", "event_id"))).first()[0]
+    folder = new_folder(spark, "late")
+    for batch in (~late & (F.col("event_id") != F.lit(last)), F.col("event_id") == F.lit(last), late):
+        e.where(batch).coalesce(1).write.mode("append").parquet(folder)
+    until_end(spark, folder)
+    found = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(folder).withWatermark("ts", "10 minutes")
+    counts = finished(found.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")))
+    return counts.select(F.col("w.start").cast("timestamp_ntz").alias("begins"), "event_type", "n")
+
+
+def fifth_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth event of each user, by a count that is kept as the user's state from batch to batch."""
+
+    def fifth(key: tuple, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        seen = state.get[0] if state.exists else 0
+        rows = pd.concat(chunks).sort_values(["ts", "event_id"])  # a user's events of one batch
+        state.update((seen + len(rows),))
+        place = seen + 1 + pd.Series(range(len(rows)))
+        yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"].to_numpy(), "place": place})[(place % 5 == 0).to_numpy()]
+
+    e = events(spark, sf_dir).select("user_id", "event_id", "ts")
+    return finished(e.groupBy("user_id").applyInPandasWithState(fifth, "user_id long, event_id long, place long", "seen long", "append", "NoTimeout"))
+
+
+QUERIES = {"stream_hourly_counts": hourly_counts, "stream_distinct_events": distinct_events, "stream_closed_sessions": closed_sessions, "stream_punctual_counts": punctual_counts, "stream_fifth_events": fifth_events}
 
 #: The watermark at the end is the latest event less the delay; what ends later isn't given out.
 ORACLES = {
@@ -67,4 +102,16 @@ with g as (select *, sum(case when p is null or ts - p >= interval 30 minute the
 select user_id, min(ts) as begins, max(ts) + interval 30 minute as ends, count(*) as n
 from g group by user_id, sid
 having max(ts) + interval 30 minute <= date_trunc('milliseconds', (select max(ts) from events)) - interval 10 minute""",
+    "stream_punctual_counts": """
+with e as (select *, event_id % 10 = 0 as late, time_bucket(interval 1 hour, ts) as hour, time_bucket(interval 1 hour, ts) + interval 1 hour as closes from events),
+last as (select arg_max(event_id, (ts, event_id)) as id from e where not late),
+first_mark as (select date_trunc('milliseconds', max(ts)) - interval 10 minute as t from e where not late and event_id <> (select id from last)),
+last_mark as (select date_trunc('milliseconds', max(ts)) - interval 10 minute as t from e)
+select hour as begins, event_type, count(*) as n from e
+where (not late or closes > (select t from first_mark)) and closes <= (select t from last_mark)
+group by hour, event_type""",
+    "stream_fifth_events": """
+select user_id, event_id, place from (
+  select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) as place from events)
+where place % 5 = 0""",
 }
