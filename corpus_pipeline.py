@@ -38,7 +38,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids to packed files in the order of the mixture's permutations, and what these hold."""
+    """Token ids to packed files, in a permutation of all rows of the mixture, and what these hold."""
     return packed_ids(in_mixed_order(docs), word_bpe(), order="mixed_order")
 
 

@@ -92,14 +92,12 @@ def order_key(seed: str, each: Column, name: Column) -> Column:
 
 
 def in_mixed_order(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """The rows of a mixture with a column `mixed_order`: their keys in the passes' permutations.
+    """The rows of a mixture with a column `mixed_order`: sorted by it, all sources and passes interleave.
 
-    The copies of a document come from different passes, so that they lie apart; sorted by
-    this column, all sources and passes interleave, each block in its own permutation.
+    A keyed permutation of all rows, by the hash of a row's name and its place in the table, so that the
+    copies of a document lie apart. It stays the same as long as the table is read from the same files.
     """
-    rows = docs.withColumn("mixed_name", named())
-    again = F.row_number().over(Window.partitionBy("mixed_name").orderBy(F.lit(0))) - 1
-    return rows.withColumn("mixed_order", order_key(seed, again.cast("string"), F.col("mixed_name"))).drop("mixed_name")
+    return docs.withColumn("mixed_order", order_key(seed, F.monotonically_increasing_id().cast("string"), named()))
 
 
 def drawn(units: DataFrame, sources: DataFrame, seed: str = SEED) -> DataFrame:

@@ -46,7 +46,7 @@ from loomwork.llm.graph import components
 from loomwork.llm.text import gram_mask, grams, mix, slices, sums, words
 
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 5
-RARE, CHUNK, RUN = 1e-3, 8192, 500_000
+RARE, CHUNK, RUN, TALLY = 1e-3, 8192, 250_000, 2_000_000
 GROUP_DOCS, GROUP_SHINGLES, LEADERS, BLOCK_DOCS = 256, 1_000_000, 64, 512
 MOST_FREQUENT = 2_000_000
 LEVEL_BITS = 14
@@ -86,13 +86,15 @@ class Tally:
     """
 
     def __init__(self, share: float, docs_before: int):
-        self.share, self.begin, self.docs, self.settled = share, share * docs_before, 0, 0
-        self.keys, self.n, self.missed = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.share, self.before, self.docs, self.settled = share, docs_before, 0, 0
+        self.keys, self.n, self.missed = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.parts, self.size = [], 0
 
     def allowance(self, keys: np.ndarray, docs: int) -> np.ndarray:
-        u = (keys >> np.uint64(11)).astype(float) / float(1 << 53)
-        return (np.floor(self.begin + self.share * docs + u) - np.floor(self.begin + u)).astype(np.int64)
+        (low, from_low), (high, from_high) = (divmod(self.share * x, 1.0) for x in (self.before, self.before + docs))
+        # floor(x + u) is one more from where u fills up what x lacks to the next whole number
+        up = lambda part: (keys >= np.uint64(min(int((1 - part) * 2.0**64), (1 << 64) - 1))).view(np.int8)
+        return np.int32(high - low) + up(from_high) - up(from_low)
 
     def add(self, keys: np.ndarray, docs: int) -> None:
         self.parts.append(keys)
@@ -101,7 +103,7 @@ class Tally:
     def settle(self) -> None:
         """Counts what came since the last time. What is new may have been forgotten before, up to its allowance then."""
         keys, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.parts]), return_counts=True)
-        self.parts, self.size = [], 0
+        n, self.parts, self.size = n.astype(np.int32), [], 0
         i = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
         known = self.keys[i] == keys if len(self.keys) else np.zeros(len(keys), bool)
         self.n[i[known]] += n[known]
@@ -115,7 +117,7 @@ class Tally:
     def report(self, less: bool) -> pa.RecordBatch:
         """The counts, less the allowance once more or as they are, and nothing left here."""
         n = self.n - self.allowance(self.keys, self.docs) if less else self.n
-        out = pa.RecordBatch.from_arrays([pa.array(self.keys[n > 0].view(np.int64)), pa.array(n[n > 0])], ["shingle", "n"])
+        out = pa.RecordBatch.from_arrays([pa.array(self.keys[n > 0].view(np.int64)), pa.array(n[n > 0].astype(np.int64))], ["shingle", "n"])
         self.keys, self.n, self.missed = self.keys[:0], self.n[:0], self.missed[:0]
         return out
 
@@ -129,7 +131,7 @@ def _stand_out(share: float, before):
             tally.add(shingles(b.column("text"))[0], b.num_rows)
             if tally.size >= RUN:
                 tally.settle()
-            if len(tally.keys) >= 4 * RUN:  # of very long texts: reported in full, so memory stays bounded
+            if len(tally.keys) >= TALLY:  # of very long texts: reported in full, so memory stays bounded
                 yield tally.report(False)
         tally.settle()
         yield tally.report(True)

@@ -1,19 +1,18 @@
 """The pipeline, stage by stage against plain Python, and on odd tables."""
 
 import random
-import re
 import zlib
 
 import numpy as np
 import pytest
 from conftest_llm import ODD, SCHEMA, rows
-from pyspark.sql import functions as F
 from test_duplicates import changed, classes
-from test_native import leaked, mixing_key
+from test_native import leaked
 
 import corpus_pipeline
 from loomwork.llm import packing
 from loomwork.llm.common import kept
+from loomwork.llm.mixing import in_mixed_order
 
 INSULTS = ["zwonk", "blarf", "quimby"]
 
@@ -51,6 +50,8 @@ def test_each_stage_against_plain_python(spark, tables):
     now = spark.read.parquet(f"{sf}/documents.parquet")
     columns, seen = now.dtypes, {}
     for name, stage in corpus_pipeline.STAGES:
+        if name == "token_ids":
+            order = [r.doc_id for r in in_mixed_order(now).orderBy("mixed_order").collect()]
         before = [(r.doc_id, r.text) for r in now.collect()] if "text" in now.columns else []
         now = kept(stage(spark, now, sf), f"test-{name}")
         seen[name] = before, [(r.doc_id, r.text) for r in now.collect()] if name != "token_ids" else now.collect()
@@ -70,19 +71,14 @@ def test_each_stage_against_plain_python(spark, tables):
     before, after = seen["token_ids"]
     from tokenizers import Tokenizer
 
-    tok, start, times = Tokenizer.from_file(packing.word_bpe()), 0, {}
+    tok, start = Tokenizer.from_file(packing.word_bpe()), 0
     assert len(after) == len(before) and sorted(map(key, [(r.doc_id, "") for r in after])) == sorted(map(key, [(i, "") for i, _ in before]))
-    text, order = dict(before), []
+    text = dict(before)
     for r in sorted(after, key=lambda r: r.start):
         ids = np.array(tok.encode(text[r.doc_id] or "", add_special_tokens=False).ids + [2], "<u4")
         assert r.start == start and (r.doc_id is None or (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes())))
         start += r.n_tokens
-        times[r.doc_id] = times.get(r.doc_id, -1) + 1
-        order.append((r.doc_id, times[r.doc_id]))
-    # the order is that of the mixture's keys, of whichever of a document's passes comes first
-    got = [(i, n) for i, n in order if i is not None]
-    keys = sorted(mixing_key(n, i) for i, n in got)
-    assert [i for i, _ in got] == [i for _, i in sorted((mixing_key(n, i), i) for i, n in got)] and len(set(keys)) == len(keys)
+    assert [r.doc_id for r in sorted(after, key=lambda r: r.start)] == order != sorted(order, key=lambda i: (i is not None, i))
 
 
 def test_empty_tables(spark, tmp_path):
