@@ -183,7 +183,8 @@ def _of_hot(segments: DataFrame, width: int, hot: int) -> DataFrame:
     sizes = kept(contents.groupBy("sub").agg(F.count("*").alias("m"), F.sum(F.octet_length("words") / 5).alias("total")), "subs")
     total = sizes.where(f"m between 2 and {hot}").agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
     several = contents.join(sizes.where("m > 1").select("sub", "m"), "sub")
-    shard = F.pmod(F.xxhash64("sub"), F.lit(max(8, round(total / SHARD_WORDS)))).cast("int").alias("shard")
+    least = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # so that few words are still spread over all tasks
+    shard = F.pmod(F.xxhash64("sub"), F.lit(max(least, round(total / SHARD_WORDS)))).cast("int").alias("shard")
     searched = several.where(F.col("m") <= hot).select(shard, F.col("key").cast("string").cast("binary").alias("text_key"), F.lit(0).cast("long").alias("at"), "words")
     searched = searched.groupBy("shard").applyInArrow(_search(width), "text_key binary, at long, mask long").select(F.col("text_key").cast("string").cast("long").alias("key"), "mask")
     each = several.where(F.col("m") > hot).select("key", F.posexplode("windows").alias("place", "window"))
