@@ -12,7 +12,6 @@ import pytest
 from conftest_llm import ODD
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from loomwork.llm import media, packing, pii
 from loomwork.llm.common import new_dir
