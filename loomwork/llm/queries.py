@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from loomwork.llm.bytebpe import op13_byte_bpe
 from loomwork.llm.decontamination import OP7_SQL, op7_decontamination
 from loomwork.llm.language import op5_language
 from loomwork.llm.media import op2_media
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_quality": op9_quality,
     "op10_packed_ids": op10_packed_ids,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 ORACLES = {"op3_mixed_sources": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op7_decontamination": OP7_SQL, "op8_near_duplicates": OP8_SQL}
