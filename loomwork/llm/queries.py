@@ -10,9 +10,11 @@ from loomwork.llm.mixing import OP3_SQL, op3_mixed_sources
 from loomwork.llm.neardup import OP8_SQL, op8_near_duplicates
 from loomwork.llm.packing import op10_packed_ids
 from loomwork.llm.pii import op6_pseudonyms
+from loomwork.llm.prefixtrie import OP11_SQL, op11_prefix_trie
 from loomwork.llm.quality import op9_quality
 from loomwork.llm.substrings import OP4_SQL, op4_substring_dedup
 from loomwork.llm.toxicity import op1_toxicity
+from loomwork.llm.vectorcodes import OP12_SQL, op12_vector_codes
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_quality": op9_quality,
     "op10_packed_ids": op10_packed_ids,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_vector_codes": op12_vector_codes,
     "op13_byte_bpe": op13_byte_bpe,
 }
-ORACLES = {"op3_mixed_sources": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op7_decontamination": OP7_SQL, "op8_near_duplicates": OP8_SQL}
+ORACLES = {"op3_mixed_sources": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op7_decontamination": OP7_SQL, "op8_near_duplicates": OP8_SQL, "op11_prefix_trie": OP11_SQL, "op12_vector_codes": OP12_SQL}
