@@ -13,7 +13,8 @@ Rollup: a node belongs to its smallest member, so each conversation owns a chain
 conversation of smaller id. Totals of chains are added up by doubling the distance to their ancestors, then along each chain
 from its end by the same scan as above. A node's ids are joined to blocks in tasks, and the blocks hashed in order.
 
-Nulls, ties and the like: null roles and texts are empty, null turns come first, rows without conv_id are left out; turns of an equal number go by
+Nulls, ties and the like: null roles and texts are empty, null turns come first, rows without conv_id are left out, and a
+negative id's block is found by a remainder that is negative too, as in SQL; turns of an equal number go by
 the SHA-256 of role and text, and repeated rows are turns of their own. An empty table has no nodes, not even a root. Other columns are left out.
 """
 
