@@ -7,6 +7,7 @@ Integers that the two engines give in different widths are cast to bigint on bot
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,8 @@ ORACLES: dict[str, str] = {}
 
 def query(sql: str):
     def register(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
         QUERIES[f.__name__] = f
         ORACLES[f.__name__] = sql
         return f
@@ -38,18 +41,20 @@ def revenue() -> Column:
 
 
 def ranked(df: DataFrame, group: str, *order: str) -> DataFrame:
-    """With `rank` (from 1, by `order`, which must be unique in a group) and `n` of each row's group.
+    """With `rank` (from 1, by `order`, which must be unique in a group) and `n` of each row's group. Nulls come last, and are a group too.
 
     Rows are sorted in ranges of (group, order), so a group of any size is spread over tasks; a range's ranks begin
     after the rows of the ranges before it. Joined to all rows are only these counts, one for each group of a range.
     """
-    rows = written(df.repartitionByRange(group, *order).withColumn("part", F.spark_partition_id()), "ranges")
+    by = [F.asc_nulls_last(c) for c in (group, *order)]
+    rows = written(df.repartitionByRange(*by).withColumn("part", F.spark_partition_id()), "ranges")
     counts = rows.groupBy(group, "part").agg(F.count("*").alias("here"))
     of = Window.partitionBy(group)
     before = F.coalesce(F.sum("here").over(of.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(group, "part", before.alias("before"), F.sum("here").over(of).alias("n"))
-    here = F.row_number().over(Window.partitionBy(group, "part").orderBy(*order))
-    return rows.withColumn("here", here).join(starts, [group, "part"]).withColumn("rank", F.col("before") + F.col("here")).drop("part", "here", "before")
+    starts = counts.select(F.col(group).alias("of"), F.col("part").alias("of_part"), before.alias("before"), F.sum("here").over(of).alias("n"))
+    here = F.row_number().over(Window.partitionBy(group, "part").orderBy(*by[1:]))
+    same = F.col(group).eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part"))
+    return rows.withColumn("here", here).join(starts, same).withColumn("rank", F.col("before") + F.col("here")).drop("part", "here", "before", "of", "of_part")
 
 
 # -- joins and aggregates --------------------------------------------------------------
@@ -324,207 +329,9 @@ def value_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.sum(F.col("value") * weight)
 
     near = lambda q: F.abs(F.col("rank") - 1 - (F.col("n") - 1) * q) < 1
-    high = rows.where(near(0.5) | near(0.95)).groupBy("event_type").agg(r(at(0.5), "median"), r(at(0.95), "high"))
-    return high.join(e.groupBy("event_type").agg(r(F.avg("value"), "mean"), r(F.stddev_samp("value"), "deviation")), "event_type")
-
-
-@query("""
-select user_id, count(*) filter (where event_type = 'click') as clicks,
-       count(*) filter (where event_type = 'purchase') as purchases
-from events group by user_id having count(*) filter (where event_type = 'purchase') > 0""")
-def buyers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = {"clicks": "click", "purchases": "purchase"}
-    return load(spark, sf_dir, "events").groupBy("user_id").agg(*(F.count_if(F.col("event_type") == v).alias(k) for k, v in kinds.items())).where("purchases > 0")
-
-
-# -- windows, order, sets --------------------------------------------------------------
-
-
-@query("""
-select o_custkey, o_orderkey, cast(rn as bigint) as rn, cast(rk as bigint) as rk from (
-  select o_custkey, o_orderkey,
-         row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rn,
-         rank() over (partition by o_custkey order by o_orderdate) as rk
-  from orders) where rn <= 3""")
-def top_orders_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = Window.partitionBy("o_custkey")
-    ranked = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(own.orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("rn"), F.rank().over(own.orderBy("o_orderdate")).alias("rk"))
-    return ranked.where("rn <= 3").select("o_custkey", "o_orderkey", F.col("rn").cast("long"), F.col("rk").cast("long"))
-
-
-@query("""
-select event_id, user_id, lag(event_type) over w as before, lead(event_type) over w as after,
-       count(*) over (partition by user_id order by ts, event_id rows between 4 preceding and current row) as recent
-from events window w as (partition by user_id order by ts, event_id)""")
-def neighbouring_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return load(spark, sf_dir, "events").select("event_id", "user_id", F.lag("event_type").over(w).alias("before"), F.lead("event_type").over(w).alias("after"), F.count("*").over(w.rowsBetween(-4, 0)).alias("recent"))
-
-
-@query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 20")
-def largest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The twenty largest: the limit is what is asked for."""
-    return load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
-
-
-@query("""
-select c_nationkey as nationkey from customer intersect select s_nationkey from supplier
-except select n_nationkey from nation where n_regionkey = 0""")
-def shared_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = lambda name, key: load(spark, sf_dir, name).select(F.col(key).alias("nationkey"))
-    africa = load(spark, sf_dir, "nation").where("n_regionkey = 0").select(F.col("n_nationkey").alias("nationkey"))
-    return t("customer", "c_nationkey").intersect(t("supplier", "s_nationkey")).subtract(africa)
-
-
-# -- time ------------------------------------------------------------------------------
-
-
-@query("""
-with g as (select *, sum(case when p is null or ts - p >= interval 30 minute then 1 else 0 end)
-                     over (partition by user_id order by ts, event_id) as sid
-           from (select *, lag(ts) over (partition by user_id order by ts, event_id) as p from events))
-select user_id, min(ts) as begins, max(ts) + interval 30 minute as ends, count(*) as n
-from g group by user_id, sid""")
-def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = load(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("s")).agg(F.count("*").alias("n"))
-    return s.select("user_id", F.col("s.start").alias("begins"), F.col("s.end").alias("ends"), "n")
-
-
-@query("""
-select w as begins, event_type, count(*) as n
-from (select event_type, unnest([time_bucket(interval 30 minute, ts), time_bucket(interval 30 minute, ts) - interval 30 minute]) as w from events)
-group by w, event_type""")
-def sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = load(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour", "30 minutes").alias("w"), "event_type").agg(F.count("*").alias("n"))
-    return s.select(F.col("w.start").alias("begins"), "event_type", "n")
-
-
-@query("""
-select p.event_id, c.event_id as click_id
-from (select * from events where event_type = 'purchase') p
-asof left join (select * from events where event_type = 'click') c
-on p.user_id = c.user_id and p.ts >= c.ts""")
-def click_before_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As-of join: one sort of both kinds by user and time, and the last click seen so far. Linear in the events of a user."""
-    e = load(spark, sf_dir, "events").where(F.col("event_type").isin("click", "purchase"))
-    w = Window.partitionBy("user_id").orderBy("ts", F.col("event_type")).rowsBetween(Window.unboundedPreceding, 0)
-    seen = e.withColumn("click_id", F.last(F.when(F.col("event_type") == "click", F.col("event_id")), ignorenulls=True).over(w))
-    return seen.where("event_type = 'purchase'").select("event_id", "click_id")
-
-
-@query("""
-select cast(year(o_orderdate) as bigint) as year, cast(quarter(o_orderdate) as bigint) as quarter, o_orderstatus,
-       count(*) as n, cast(100 * sum(cast(o_totalprice as decimal(18,2))) as bigint) as total_e2
-from orders group by all""")
-def orders_by_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").cast("long").alias("year"), F.quarter("o_orderdate").cast("long").alias("quarter"), "o_orderstatus").agg(F.count("*").alias("n"), (100 * F.sum(money("o_totalprice"))).cast("long").alias("total_e2"))
-
-
-# -- strings, JSON, arrays -------------------------------------------------------------
-
-
-@query("""
-select json_extract_string(props, '$.k') as k, count(*) as n, min(event_id) as first_event
-from events group by 1""")
-def events_by_property(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "events").groupBy(F.get_json_object("props", "$.k").alias("k")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
-
-
-@query("""
-select p_partkey, upper(p_name) as name, cast(length(p_type) as bigint) as type_length,
-       case when p_size < 10 then 'small' when p_size < 30 then 'medium' else 'large' end as class
-from part where p_brand like '%1' and p_type in ('ECONOMY', 'LARGE', 'PROMO') and p_size between 5 and 40""")
-def parts_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = load(spark, sf_dir, "part").where(F.col("p_brand").like("%1") & F.col("p_type").isin("ECONOMY", "LARGE", "PROMO") & F.col("p_size").between(5, 40))
-    return p.select("p_partkey", F.upper("p_name").alias("name"), F.length("p_type").cast("long").alias("type_length"), F.when(F.col("p_size") < 10, "small").when(F.col("p_size") < 30, "medium").otherwise("large").alias("class"))
-
-
-@query("""
-select label, cast(pos as bigint) as pos, count(*) as n, count(*) filter (where x > 0) as positive
-from (select label, unnest(embedding) as x, generate_subscripts(embedding, 1) - 1 as pos from embeddings)
-group by label, pos""")
-def embedding_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = load(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("pos", "x"))
-    return e.groupBy("label", F.col("pos").cast("long").alias("pos")).agg(F.count("*").alias("n"), F.count_if(F.col("x") > 0).alias("positive"))
-
-
-@query("select md5(text) as digest, min(doc_id) as first_doc, count(*) as n from documents group by 1")
-def exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").groupBy(F.md5("text").alias("digest")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
-
-
-# -- more joins ------------------------------------------------------------------------
-
-
-@query("""
-select a.event_id, b.event_id as later_id from events a join events b
-on a.user_id = b.user_id and b.ts > a.ts and b.ts <= a.ts + interval 1 hour""")
-def events_within_an_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interval join: the hour is an equality key, so a user's events meet those of the same or the next hour only."""
-    e = load(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-    a = e.withColumn("hour", F.explode(F.array(F.date_trunc("hour", "ts"), F.date_trunc("hour", F.col("ts") + F.expr("interval 1 hour"))))).alias("a")
-    b = e.withColumn("hour", F.date_trunc("hour", "ts")).alias("b")
-    near = a.join(b, ["user_id", "hour"]).where("b.ts > a.ts and b.ts <= a.ts + interval 1 hour")
-    return near.select(F.col("a.event_id").alias("event_id"), F.col("b.event_id").alias("later_id"))
-
-
-@query("""
-select n_nationkey, count(distinct c_custkey) as customers, count(distinct s_suppkey) as suppliers
-from nation left join customer on c_nationkey = n_nationkey left join supplier on s_nationkey = n_nationkey
-group by n_nationkey""")
-def parties_of_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each side is counted before it is joined, so customers never meet suppliers row by row."""
-    count = lambda name, key, n: load(spark, sf_dir, name).groupBy(F.col(key).alias("n_nationkey")).agg(F.count("*").alias(n))
-    all_ = load(spark, sf_dir, "nation").select("n_nationkey").join(count("customer", "c_nationkey", "customers"), "n_nationkey", "left").join(count("supplier", "s_nationkey", "suppliers"), "n_nationkey", "left")
-    return all_.fillna(0, ["customers", "suppliers"])
-
-
-@query("""
-select coalesce(c.k, s.k) as nationkey, c.n as rich_customers, s.n as rich_suppliers
-from (select c_nationkey as k, count(*) as n from customer where c_acctbal > 9500 group by 1) c
-full join (select s_nationkey as k, count(*) as n from supplier where s_acctbal > 5000 group by 1) s on c.k = s.k""")
-def rich_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = load(spark, sf_dir, "customer").where("c_acctbal > 9500").groupBy(F.col("c_nationkey").alias("nationkey")).agg(F.count("*").alias("rich_customers"))
-    s = load(spark, sf_dir, "supplier").where("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("nationkey")).agg(F.count("*").alias("rich_suppliers"))
-    return c.join(s, "nationkey", "full")
-
-
-@query("""
-select o_orderkey, o_totalprice from orders o
-where o_totalprice > 1.5 * (select avg(cast(o_totalprice as decimal(18,2))) from orders i where i.o_custkey = o.o_custkey)""")
-def outstanding_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A correlated average, as a join with the averages of all customers."""
-    orders = load(spark, sf_dir, "orders")
-    mean = orders.groupBy("o_custkey").agg(F.avg(money("o_totalprice")).cast("double").alias("mean"))
-    return orders.join(mean, "o_custkey").where("o_totalprice > 1.5 * mean").select("o_orderkey", "o_totalprice")
-
-
-# -- more aggregates and windows -------------------------------------------------------
-
-
-@query("""
-select p_brand, p_type, count(*) as n, min(p_size) as least_size from part
-group by grouping sets ((p_brand), (p_type), (p_brand, p_type), ())""")
-def part_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = load(spark, sf_dir, "part")
-    b, t = F.col("p_brand"), F.col("p_type")
-    return p.groupingSets([[b], [t], [b, t], []], b, t).agg(F.count("*").alias("n"), F.min("p_size").alias("least_size"))
-
-
-@query("""
-select year(o_orderdate)::bigint as year, o_orderstatus, count(*) as n, cast(grouping(o_orderstatus) as bigint) as of_all
-from orders group by rollup (year(o_orderdate)::bigint, o_orderstatus)""")
-def orders_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate").cast("long")).rollup("year", "o_orderstatus").agg(F.count("*").alias("n"), F.grouping("o_orderstatus").cast("long").alias("of_all"))
-
-
-@query("""
-select event_type, round(quantile_cont(value, 0.5), 6) as median, round(quantile_cont(value, 0.95), 6) as high,
-       round(avg(value), 6) as mean, round(stddev_samp(value), 6) as deviation
-from events group by event_type""")
-def value_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = lambda c, name: F.round(c, 6).alias(name)
-    return load(spark, sf_dir, "events").groupBy("event_type").agg(r(F.percentile("value", 0.5), "median"), r(F.percentile("value", 0.95), "high"), r(F.avg("value"), "mean"), r(F.stddev_samp("value"), "deviation"))
+    high = rows.where(near(0.5) | near(0.95)).groupBy(F.col("event_type").alias("of")).agg(r(at(0.5), "median"), r(at(0.95), "high"))
+    plain = e.groupBy("event_type").agg(r(F.avg("value"), "mean"), r(F.stddev_samp("value"), "deviation"))
+    return plain.join(high, F.col("event_type").eqNullSafe(F.col("of")), "left").drop("of")
 
 
 @query("""
@@ -687,12 +494,18 @@ def next_dearest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 select s_suppkey, count(c_custkey) as richer from supplier left join customer on c_nationkey = s_nationkey and c_acctbal > s_acctbal
 group by s_suppkey""")
 def richer_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A join by an inequality beside the nation, without its pairs: a supplier's rank among all parties less that among suppliers."""
-    c = load(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), (-F.col("c_acctbal")).alias("debt"), F.lit(True).alias("customer"), F.col("c_custkey").alias("party"))
+    """A join by an inequality beside the nation, without its pairs: a supplier's rank among all parties less that among suppliers.
+
+    What has no nation or no balance is richer than nobody, and nobody is richer than it.
+    """
+    known = F.col("nation").isNotNull() & F.col("debt").isNotNull()
+    every = load(spark, sf_dir, "supplier").select("s_suppkey")
+    c = load(spark, sf_dir, "customer").where("c_custkey is not null").select(F.col("c_nationkey").alias("nation"), (-F.col("c_acctbal")).alias("debt"), F.lit(True).alias("customer"), F.col("c_custkey").alias("party"))
     s = load(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), (-F.col("s_acctbal")).alias("debt"), F.lit(False).alias("customer"), F.col("s_suppkey").alias("party"))
     order = ["debt", "customer", "party"]  # at equal balances the supplier comes first
-    among_all = ranked(c.union(s), "nation", *order).where(~F.col("customer")).select(F.col("party").alias("s_suppkey"), "rank")
-    return among_all.join(ranked(s, "nation", *order).select(F.col("party").alias("s_suppkey"), F.col("rank").alias("own")), "s_suppkey").select("s_suppkey", (F.col("rank") - F.col("own")).alias("richer"))
+    among_all = ranked(c.union(s).where(known), "nation", *order).where(~F.col("customer")).select(F.col("party").alias("s_suppkey"), "rank")
+    own = ranked(s.where(known), "nation", *order).select(F.col("party").alias("s_suppkey"), F.col("rank").alias("own"))
+    return every.join(among_all.join(own, "s_suppkey"), "s_suppkey", "left").select("s_suppkey", F.coalesce(F.col("rank") - F.col("own"), F.lit(0)).alias("richer"))
 
 
 @query("""
@@ -702,9 +515,13 @@ with recursive chain(event_id, depth) as (
 select event_id, cast(depth as bigint) as depth from chain""")
 def doubling_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A recursive query: one join for each step, which ends when a step finds no event."""
-    load(spark, sf_dir, "events").select("event_id").createOrReplaceTempView("loomwork_events")
-    return spark.sql("""
+    view = f"loomwork_{uuid.uuid4().hex}"
+    load(spark, sf_dir, "events").select("event_id").createOrReplaceTempView(view)
+    try:
+        return spark.sql(f"""
         with recursive chain(event_id, depth) as (
-          select min(event_id), 0 from loomwork_events
-          union all select e.event_id, depth + 1 from chain c join loomwork_events e on e.event_id = 2 * c.event_id + 1 where depth < 40)
+          select min(event_id), 0 from {view}
+          union all select e.event_id, depth + 1 from chain c join {view} e on e.event_id = 2 * c.event_id + 1 where depth < 40)
         select event_id, cast(depth as bigint) as depth from chain""")
+    finally:
+        spark.catalog.dropTempView(view)

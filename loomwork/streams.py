@@ -6,7 +6,7 @@ the sink's rows. The sink is a Parquet folder, so results don't pass through the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +34,37 @@ def finished(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
+def in_batches(batches: list[DataFrame], build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows of the stream that `build` makes of the batches, each taken in whole before the next.
+
+    Each batch is written by as many tasks as it has, then the query runs on from its checkpoint, as a query that is stopped and started again does.
+    Between them are no triggers without data, so a batch is judged by the watermark that the batches before it have left.
+    """
+    spark, setting = batches[0].sparkSession, "spark.sql.streaming.noDataMicroBatches.enabled"
+    given = spark.conf.get(setting)
+    folder = new_folder(spark, "batches")
+    until_end(spark, folder)
+    batches[0].limit(0).write.parquet(f"{folder}/input")  # a stream asks for a folder that is there
+    out = build(spark.readStream.schema(batches[0].schema).parquet(f"{folder}/input"))
+    spark.conf.set(setting, "false")
+    try:
+        for batch in batches:
+            batch.write.mode("append").parquet(f"{folder}/input")
+            out.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).outputMode("append").start().awaitTermination()
+    finally:
+        spark.conf.set(setting, given)
+    return spark.read.schema(out.schema).parquet(f"{folder}/rows")
+
+
+def dealt_by_time(e: DataFrame, n: int = 5) -> list[DataFrame]:
+    """The events in n batches of equal spans of time; those without a time come with the first."""
+    seconds = F.col("ts").cast("timestamp").cast("double")
+    low, high = e.agg(F.min(seconds), F.max(seconds)).first()
+    span = max(((high or 0) - (low or 0)) / n, 1e-6)
+    batch = F.coalesce(F.least(F.floor((seconds - F.lit(low)) / span), F.lit(n - 1)), F.lit(0))
+    return [e.where(batch == i) for i in range(n)]
+
+
 def hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed hours only: an hour is given out once the watermark has passed its end."""
     e = events(spark, sf_dir).withWatermark("ts", "10 minutes")
@@ -63,17 +94,13 @@ def punctual_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast(T.TimestampType()))
     late = F.col("event_id") % 10 == 0
     last = e.where(~late).agg(F.max_by("event_id", F.struct("ts", "event_id"))).first()[0]
-    folder = new_folder(spark, "late")
-    for batch in (~late & (F.col("event_id") != F.lit(last)), F.col("event_id") == F.lit(last), late):
-        e.where(batch).coalesce(1).write.mode("append").parquet(folder)
-    until_end(spark, folder)
-    found = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(folder).withWatermark("ts", "10 minutes")
-    counts = finished(found.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")))
+    batches = [e.where(~late & (F.col("event_id") != F.lit(last))), e.where(F.col("event_id") == F.lit(last)), e.where(late)]
+    counts = in_batches(batches, lambda found: found.withWatermark("ts", "10 minutes").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")))
     return counts.select(F.col("w.start").cast("timestamp_ntz").alias("begins"), "event_type", "n")
 
 
 def fifth_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fifth event of each user, by a count that is kept as the user's state from batch to batch."""
+    """Every fifth event of each user, by a count that is kept as the user's state from batch to batch: five batches, of six days each."""
 
     def fifth(key: tuple, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         seen = state.get[0] if state.exists else 0
@@ -82,8 +109,8 @@ def fifth_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         place = seen + 1 + pd.Series(range(len(rows)))
         yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"].to_numpy(), "place": place})[(place % 5 == 0).to_numpy()]
 
-    e = events(spark, sf_dir).select("user_id", "event_id", "ts")
-    return finished(e.groupBy("user_id").applyInPandasWithState(fifth, "user_id long, event_id long, place long", "seen long", "append", "NoTimeout"))
+    e = load(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    return in_batches(dealt_by_time(e), lambda found: found.groupBy("user_id").applyInPandasWithState(fifth, "user_id long, event_id long, place long", "seen long", "append", "NoTimeout"))
 
 
 QUERIES = {"stream_hourly_counts": hourly_counts, "stream_distinct_events": distinct_events, "stream_closed_sessions": closed_sessions, "stream_punctual_counts": punctual_counts, "stream_fifth_events": fifth_events}
