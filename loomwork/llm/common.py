@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +29,32 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_open: list[list[str]] = []
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(folder)
+    return folder
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders of the shared folder that are made inside go at the end: whatever is to stay must have been written by then."""
+    folders: list[str] = []
+    _open.append(folders)
+    try:
+        yield
+    finally:
+        _open.pop()
+        for folder in folders:
+            removed(spark, folder)
 
 
 def until_end(spark: SparkSession, folder: str) -> None:

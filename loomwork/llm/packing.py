@@ -1,6 +1,6 @@
 """Token ids in fixed-width bit packing.
 
-A shard file holds the ids of consecutive documents. Each id takes the least number
+A shard file holds the ids of consecutive documents, up to a fixed size, so a task of any size holds one shard in memory. Each id takes the least number
 of bits that the vocabulary needs, lowest bit first; ids go in blocks of `BLOCK`, each
 starting on a byte, so a block's offset gives random access and numpy unpacks it whole.
 
@@ -39,6 +39,8 @@ from loomwork.llm.files import opened
 from loomwork.llm.text import slices, words
 
 MAGIC, HEAD, BLOCK = b"LWBITS01", struct.Struct("<8sIIQQQ"), 4096
+#: A shard closes once its packed ids take so many bytes, or it has so many documents; a task then goes on with the next.
+FULL, MANY = 1 << 25, 1 << 20
 
 
 # -- packing ---------------------------------------------------------------------------
@@ -69,7 +71,7 @@ class ShardWriter:
     """Collects packed blocks; the head needs the counts, so finish() returns the parts in order."""
 
     def __init__(self, bits: int):
-        self.bits, self.parts, self.rest, self.n = bits, [], np.zeros(0, np.uint32), 0
+        self.bits, self.parts, self.rest, self.n, self.held = bits, [], np.zeros(0, np.uint32), 0, 0
         self.ids, self.known, self.ends = [], [], []
 
     def add(self, doc_id: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> None:
@@ -81,8 +83,13 @@ class ShardWriter:
         whole = len(ids) // BLOCK * BLOCK
         if whole:  # a block is a whole number of bytes: 4096 ids
             self.parts.append(pack(ids[:whole], self.bits))
+            self.held += len(self.parts[-1])
         self.rest = ids[whole:]
 
+    @property
+    def docs(self) -> int:
+        return sum(map(len, self.ids))
+
     def finish(self) -> Iterator[bytes]:
         join = lambda parts, kind: np.concatenate([*parts, np.zeros(0)]).astype(kind).tobytes()
         blocks = -(-self.n // BLOCK)
@@ -242,7 +249,7 @@ def encoder(path: str) -> Encoder:
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end: int, order: str | None = None) -> DataFrame:
-    """Encode and write; returns (shard, path, n_docs, n_ids) of the shards. A task that runs again writes a new file.
+    """Encode and write; returns (shard, place, path, n_docs, n_ids) of the shards: the task's number, and the shard's within it. A task that runs again writes new files.
 
     An id takes as many bits as the largest of the tokenizer, or `end`, needs. Documents go in the order of the
     column `order`, or of their ids.
@@ -251,20 +258,28 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end: int, order:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        out = ShardWriter(bits)
+        place, out = 0, ShardWriter(bits)
+
+        def closed() -> pa.RecordBatch:
+            path = f"{folder}/shard-{shard:06d}-{place:06d}-{uuid.uuid4().hex[:12]}.bits"
+            with opened(path, "w") as f:
+                for part in out.finish():
+                    f.write(part)
+            row = [pa.array([shard], pa.int32()), pa.array([place], pa.int32()), pa.array([path]), pa.array([out.docs], pa.int64()), pa.array([out.n], pa.int64())]
+            return pa.RecordBatch.from_arrays(row, ["shard", "place", "path", "n_docs", "n_ids"])
+
         for b in slices(batches):
+            if out.held >= FULL or out.docs >= MANY:
+                yield closed()
+                place, out = place + 1, ShardWriter(bits)
             ids, lengths = encoder(tokenizer).encode(b.column("text"), end)
             out.add(b.column("doc_id").cast(pa.int64()), ids, lengths)
-        path = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex[:12]}.bits"
-        with opened(path, "w") as f:
-            for part in out.finish():
-                f.write(part)
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([path]), pa.array([sum(map(len, out.ids))], pa.int64()), pa.array([out.n], pa.int64())], ["shard", "path", "n_docs", "n_ids"])
+        yield closed()
 
     # rows that tie go by their texts' hashes, of a fixed size as ranges are drawn on the driver, and so are split
     by = [*([order] if order else []), "doc_id", "tie"]
     dealt = docs.select(*by[:-1], "text", F.md5("text").alias("tie")).repartitionByRange(*by).sortWithinPartitions(*by)
-    return kept(dealt.select("doc_id", "text").mapInArrow(run, "shard int, path string, n_docs long, n_ids long"), "shards")
+    return kept(dealt.select("doc_id", "text").mapInArrow(run, "shard int, place int, path string, n_docs long, n_ids long"), "shards")
 
 
 def read_shards(shards: DataFrame, doc_id: str = "long") -> DataFrame:
@@ -287,7 +302,7 @@ def read_shards(shards: DataFrame, doc_id: str = "long") -> DataFrame:
                         at = to
 
     # one row a shard: the window's single task sees counts only
-    based = shards.withColumn("base", F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    based = shards.withColumn("base", F.coalesce(F.sum("n_ids").over(Window.orderBy("shard", "place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return based.select("path", "base").repartition("path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long").withColumn("doc_id", F.col("doc_id").cast(doc_id))
 
 

@@ -307,3 +307,17 @@ def test_pseudonym_rows(frame):
     assert len(out) == len(texts) and out[0].text is None and [r.text for r in out[1:8]] == texts[1:8]
     assert out[-1].text == out[-2].text != texts[-1] and out[-1].n_phone == 1
     assert pii.pseudonymised(df.limit(0), b"key").count() == 0
+
+
+def test_shards_roll_at_a_fixed_size(spark, frame, prose, monkeypatch):
+    """A task that has more than a shard holds goes on with the next; starts count on over all of them."""
+    given = [prose(40 + i % 7, i) for i in range(60)]
+    whole = sorted(map(tuple, packing.packed_ids(frame(given), packing.word_bpe()).collect()))
+    monkeypatch.setattr(packing, "MANY", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        shards = packing.write_shards(frame(given), new_dir(spark, "rolled"), packing.word_bpe(), 2)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert shards.where("place > 0").count() and shards.agg({"n_docs": "sum"}).first()[0] == 60
+    assert sorted(map(tuple, packing.read_shards(shards).collect())) == whole
