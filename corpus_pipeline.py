@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm.common import kept, remainder, table
+from loomwork.llm.common import new_dir, remainder, removed, scratch, table, until_end
 from loomwork.llm.decontamination import without_leaks
 from loomwork.llm.mixing import in_mixed_order, mixture
 from loomwork.llm.neardup import without_duplicates
@@ -49,7 +49,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The tables that a stage makes on its way go once its result is written, and this once the next stage's is."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = kept(stage(spark, docs, sf_dir), f"stage-{name}")
+        folder = new_dir(spark, f"stage-{name}")
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(folder)
+        docs = spark.read.schema(out.schema).parquet(folder)
+        if before:
+            removed(spark, before)
+        before = folder
+    until_end(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)
