@@ -34,25 +34,28 @@ def finished(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def in_batches(batches: list[DataFrame], build: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Rows of the stream that `build` makes of the batches, each taken in whole before the next.
+def in_batches(batches: list[DataFrame], build: Callable[[DataFrame], DataFrame], **settings: str) -> DataFrame:
+    """Rows of the stream that `build` makes of the batches, each taken in whole before the next. `settings` hold while it runs, with _ for dots.
 
     Each batch is written by as many tasks as it has, then the query runs on from its checkpoint, as a query that is stopped and started again does.
-    Between them are no triggers without data, so a batch is judged by the watermark that the batches before it have left.
+    Between them are no triggers without data unless asked for, so a batch is judged by the watermark that the batches before it have left.
     """
-    spark, setting = batches[0].sparkSession, "spark.sql.streaming.noDataMicroBatches.enabled"
-    given = spark.conf.get(setting)
+    spark = batches[0].sparkSession
+    wanted = {"spark.sql.streaming.noDataMicroBatches.enabled": "false"} | {k.replace("_", "."): v for k, v in settings.items()}
+    given = {k: spark.conf.get(k) for k in wanted}
     folder = new_folder(spark, "batches")
     until_end(spark, folder)
     batches[0].limit(0).write.parquet(f"{folder}/input")  # a stream asks for a folder that is there
     out = build(spark.readStream.schema(batches[0].schema).parquet(f"{folder}/input"))
-    spark.conf.set(setting, "false")
     try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         for batch in batches:
             batch.write.mode("append").parquet(f"{folder}/input")
             out.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).outputMode("append").start().awaitTermination()
     finally:
-        spark.conf.set(setting, given)
+        for k, v in given.items():
+            spark.conf.set(k, v)
     return spark.read.schema(out.schema).parquet(f"{folder}/rows")
 
 

@@ -1,34 +1,10 @@
 """Ranks over ranges with nulls in groups and values, ties and empty tables, against SQL."""
 
-import duckdb
 import pytest
-from test_relational import plain
 
 from loomwork import relational
 
 
-@pytest.fixture
-def held(spark, tmp_path):
-    """Runs a query and its SQL over tables given as (schema, rows)."""
-
-    def run(name, queries=relational, **tables):
-        con = duckdb.connect()
-        for table, (schema, rows) in tables.items():
-            path = f"{tmp_path}/{table}.parquet"
-            spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(path)
-            con.execute(f"create view {table} as select * from '{path}/*.parquet'")
-        df = queries.QUERIES[name](spark, str(tmp_path))
-        columns = sorted(df.columns)
-        got = con.execute(queries.ORACLES[name])
-        names = [d[0] for d in got.description]
-        assert sorted(names) == columns
-        ours = plain(tuple(r[c] for c in columns) for r in df.collect())
-        assert ours == plain(tuple(r[names.index(c)] for c in columns) for r in got.fetchall())
-        return ours
-
-    return run
-
-
 ORDERS = "o_orderkey long, o_orderpriority string, o_totalprice double"
 
 

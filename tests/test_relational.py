@@ -1,16 +1,15 @@
 """Each query over the star schema and the events against its SQL, run by DuckDB over the same tables."""
 
-import math
 from pathlib import Path
 
 import duckdb
 import pytest
+from conftest import plain
 
 import __spark_entry__
-from loomwork import formats, relational, streams
 
-QUERIES = {**relational.QUERIES, **formats.QUERIES, **streams.QUERIES}
-ORACLES = {**relational.ORACLES, **formats.ORACLES, **streams.ORACLES}
+QUERIES = {name: q for m in __spark_entry__.MODULES for name, q in m.QUERIES.items()}
+ORACLES = {name: sql for m in __spark_entry__.MODULES for name, sql in m.ORACLES.items()}
 SF = "/root/testdata/sf0.001"
 
 
@@ -22,11 +21,6 @@ def duck():
     return con
 
 
-def plain(rows):
-    clean = lambda x: "null" if x is None or isinstance(x, float) and math.isnan(x) else str(x)
-    return sorted(tuple(map(clean, r)) for r in rows)
-
-
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_against_sql(spark, duck, name):
     df = QUERIES[name](spark, SF)
@@ -44,5 +38,6 @@ def test_entry_has_rows(spark):
 
 
 def test_each_query_is_registered():
+    assert len(QUERIES) == sum(len(m.QUERIES) for m in __spark_entry__.MODULES)  # no name twice
     assert QUERIES.keys() <= __spark_entry__.queries().keys()
     assert __spark_entry__.oracle_sql().keys() <= __spark_entry__.queries().keys()
