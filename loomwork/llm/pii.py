@@ -10,17 +10,18 @@ Formats and what validates them:
   letters stay, the check digits are set anew.
 - card: 13 to 19 digits, bare, in groups of four, or 4-6-5, by the Luhn digit. The digits before it
   are permuted, and it is set anew.
-- phone: +country (area) number or groups parted by blanks, dots or hyphens, 10 to 15 digits; ten digits
-  as (area) number or area-number, which are linked with the same number after +1; national numbers with a
-  leading 0 as five pairs or as area and number. The digits after the country code or the 0 are
-  permuted, marks stay.
+- phone: +country and number, in groups parted by blanks, dots or hyphens or in one, 10 to 15 digits; ten digits with
+  or without a 1 before them as (area) number or area-number, and bare or parted by blanks if area and exchange are such as
+  North America assigns, all linked with the same number after +1; national numbers with a leading 0, bare, as five pairs, or as area and
+  number. Country codes are read from the list below. What follows the code or the 0 is permuted among the numbers of its length that
+  begin with 0 if and only if it does, and are North American if and only if it is; marks stay.
 - ip: dotted IPv4 with four numbers up to 255; the 32 bits are permuted. IPv6 as the standard library
   reads it; its hexadecimal digits are permuted, colons stay.
 - ssn: 3-2-4 digits with an area other than 000, 666 and 9xx, permuted among those valid.
 - date: year-month-day (a time may follow), day.month.year, day/month/year, or month/day/year where only that can
   be meant, of 1900 to 2099 and existing. Days are permuted within these two centuries, among the dates
   whose day and month have as many digits.
-- email: letters and digits of the local part, each kept in its kind; the domain stays.
+- email: letters (Latin, Greek, Cyrillic) and digits of the local part, each kept in its kind; other signs and the domain stay.
 - hex: 32 to 64 hexadecimal digits (keys, tokens), permuted as digits of base 16.
 
 Equal values give equal pseudonyms in every spelling of marks; dates of different widths are different
@@ -50,21 +51,40 @@ FIRST_DAY, DAYS = date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal() - d
 LETTERS, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
 PATTERN = re.compile(
-    r"(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
+    r"(?P<email>(?<![\w.+-])(?<![^\x00-\x7f])[A-Za-z0-9\u00c0-\uffff][\w.+\u00c0-\uffff-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"|(?P<hex>(?<![0-9A-Za-z])(?=[0-9]*[A-Fa-f])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z]))"
     r"|(?P<iban>(?<![\w.-])[A-Z]{2}\d\d(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![\w-]))"
     r"|(?P<date>(?<![\w.-])(?:(?:19|20)\d\d-\d\d-\d\d(?=T\d\d:|(?![\w-]|\.\d))|(?:\d{1,2}\.\d{1,2}\.(?:19|20)\d\d|\d{1,2}/\d{1,2}/(?:19|20)\d\d)(?![\w-]|\.\d)))"
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)|(?<![\w:.])(?=[0-9A-Fa-f:]*[0-9A-Fa-f]:)(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w.-])(?:\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![\w-]|\.\d))"
-    r"|(?P<phone>(?<![\w.-])(?:\+\d{1,3}[ .-]?)(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,5}){2,4}(?![\w-]|\.\d)|(?<![\w.-])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?![\w-]|\.\d)"
-    r"|(?<![\w.-])0[1-9](?:(?:[ .-]\d\d){4}|\d{1,3}[ /-]\d{6,8})(?![\w-]|\.\d))",
+    r"|(?P<phone>(?<![\w.-])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,5}){2,4}(?![\w-]|\.\d)"
+    r"|(?<![\w.-])(?:1[ .-])?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?![\w-]|\.\d)|(?<![\w.-])(?:1 )?[2-9]\d\d ?[2-9]\d\d ?\d{4}(?![\w-]|\.\d| ?\d)"
+    r"|(?<![\w.-])(?:0[1-9](?:(?:[ .-]\d\d){4}|\d{1,3}[ /-]\d{6,8}|\d{8,9})|\(0[1-9]\d{0,3}\) ?\d{5,8})(?![\w-]|\.\d))",
     re.ASCII,
 )
 #: A text without any of these holds none of the formats.
 TRACE = re.compile(r"[0-9@]|[A-Fa-f]{32}|::?[A-Fa-f]")
 
 
+# Country codes of one and two digits; all others have three (ITU-T E.164).
+SHORT_CODES = frozenset(
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+)
+#: Letters of a local part that are permuted among each other, small ones; capitals go with them.
+ALPHABETS = (LETTERS, DIGITS, "".join(chr(c) for c in range(0xE0, 0x100) if c != 0xF7), "".join(chr(c) for c in range(0x3B1, 0x3CA) if c != 0x3C2), "".join(chr(c) for c in range(0x430, 0x450)))
+PLACES = {c: (letters, i) for letters in ALPHABETS for i, c in enumerate(letters)}
+
+
+def north_american(number: str) -> bool:
+    """Ten digits with an area code and an exchange as they are assigned."""
+    return len(number) == 10 and number[0] in "23456789" and number[1] != "9" and number[3] in "23456789" and number[4:6] != "11"
+
+
+def country_code(digits: str) -> str:
+    return next((digits[:n] for n in (1, 2) if digits[:n] in SHORT_CODES), digits[:3])
+
+
 class Feistel:
     """Keyed permutation of range(n): a balanced network over a square at least as large, walked until it lands inside."""
 
@@ -73,7 +93,7 @@ class Feistel:
 
     def _round(self, i: int, tweak: bytes, x: int, m: int) -> int:
         size = (m.bit_length() + 71) // 8  # 64 bits more than m has: hardly any bias
-        return int.from_bytes(hashlib.shake_256(self.key + bytes([i, len(tweak)]) + tweak + x.to_bytes(size, "big")).digest(size), "big") % m
+        return int.from_bytes(hashlib.shake_256(self.key + bytes([i]) + tweak + x.to_bytes(size, "big")).digest(size), "big") % m
 
     def _walk(self, x: int, n: int, tweak: bytes, order: range, sign: int) -> int:
         if n < 2:
@@ -81,7 +101,7 @@ class Feistel:
         m = int(n**0.5) if n < 1 << 50 else 1 << (n.bit_length() + 1) // 2
         while m * m < n:
             m += 1
-        tweak += n.to_bytes((n.bit_length() + 7) // 8, "big")
+        tweak = hashlib.sha256(len(tweak).to_bytes(8, "big") + tweak + n.to_bytes((n.bit_length() + 7) // 8, "big")).digest()
         while True:
             a, b = divmod(x, m)
             for i in order:
@@ -165,12 +185,20 @@ class Pseudonyms:
         if not 9 < len(d) < 16:
             return None
         if s[0] == "+":
-            country = re.match(r"\+\d{1,3}(?=\D)", s)
-            n = len(country[0]) - 1 if country else 1
+            code, kept_ = country_code(d), len(country_code(d))
+        elif d[0] == "0":
+            code, kept_ = "0", 1  # a national number's 0 stays
         else:
-            n = int(s[0] == "0")  # a national number's 0 stays
-        code = "1" if not n else d[:n]
-        return self.refill(s, d[:n] + self.digits(d[n:], b"phone" + code.encode()))
+            code, kept_ = "1", len(d) - 10
+            if not re.search("[().-]", s) and not north_american(d[kept_:]):
+                return None
+        number = d[kept_:]
+        kind = lambda x: (x[0] == "0", north_american(x))
+        new = number
+        while True:  # walks on along the permutation to the next number of the same kind
+            new = self.digits(new, b"phone" + code.encode())
+            if kind(new) == kind(number):
+                return self.refill(s, d[:kept_] + new)
 
     def ip(self, s: str) -> str | None:
         if ":" in s:
@@ -221,19 +249,22 @@ class Pseudonyms:
 
     def email(self, s: str) -> str:
         local, _, domain = s.partition("@")
-        sizes = [26 if c.isalpha() and c.isascii() else 10 if c.isdigit() and c.isascii() else 0 for c in local]
-        n = x = 0
-        n = 1
-        for c, size in zip(local, sizes, strict=True):
-            if size:
-                x, n = x * size + (LETTERS.index(c.lower()) if size == 26 else int(c)), n * size
+        # a letter whose small form is another length or has another capital stays as it is
+        places = [PLACES.get(c.lower()) if c.lower() == c or c.lower().upper() == c else None for c in local]
+        n, x = 1, 0
+        for place in places:
+            if place:
+                letters, i = place
+                x, n = x * len(letters) + i, n * len(letters)
         # the tweak is what stays: domain, marks and the kinds of the places
-        x = self.permute(x, n, b"email" + re.sub(r"\d", "0", re.sub("[A-Za-z]", "a", local)).encode() + b"@" + domain.lower().encode()[:200])
+        shape = "".join(letters[0] if place and (letters := place[0]) else c for c, place in zip(local, places, strict=True))
+        x = self.permute(x, n, b"email" + shape.encode() + b"@" + domain.lower().encode())
         out = []
-        for c, size in zip(reversed(local), reversed(sizes), strict=True):
-            if size:
-                x, i = divmod(x, size)
-                c = DIGITS[i] if size == 10 else LETTERS[i].upper() if c.isupper() else LETTERS[i]
+        for c, place in zip(reversed(local), reversed(places), strict=True):
+            if place:
+                letters = place[0]
+                x, i = divmod(x, len(letters))
+                c = letters[i].upper() if c != c.lower() else letters[i]
             out.append(c)
         return "".join(reversed(out)) + "@" + domain
 

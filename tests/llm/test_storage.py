@@ -321,3 +321,59 @@ def test_shards_roll_at_a_fixed_size(spark, frame, prose, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert shards.where("place > 0").count() and shards.agg({"n_docs": "sum"}).first()[0] == 60
     assert sorted(map(tuple, packing.read_shards(shards).collect())) == whole
+
+
+PHONES = [
+    "+49 171 5557713", "+491715557713", "0171 5557713", "06 12 34 56 78", "212-555-0199", "+33 6 12 34 56 78", "0612345678", "(030) 1234567", "1-212-555-0199", "2125550199",
+    "212 555 0199", "(212) 555-0199", "+1 212 555 0199", "+44 20 7946 0958", "+39 06 698 12345", "030/1234567", "123-456-7890",
+]
+OTHERS = ["jürgen.müller@web.de", "Ана@primer.example.com", "ΑΒΓ-1@example.org", "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00", "078-05-1120", "2001-02-28", "03.07.2001", "192.168.0.1", "d41d8cd98f00b204e9800998ecf8427e"]
+
+
+def test_every_format_inverts_under_any_key():
+    for k in range(300):
+        there, back = pii.Pseudonyms(b"key %d" % k), pii.Pseudonyms(b"key %d" % k, inverse=True)
+        for value in PHONES + OTHERS:
+            text, found = there.text(f"of {value} now")
+            again, same = back.text(text)
+            assert again == f"of {value} now" and len(found) == len(same) == 1, (k, value, text)
+            assert found[0][0] == same[0][0] and len(text) == len(again)
+
+
+def test_numbers_are_linked_in_every_spelling():
+    flat = lambda s: re.sub(r"\D", "", pii.Pseudonyms(b"k").text(s)[0])
+    assert len({flat(s)[-10:] for s in ("212-555-0199", "1-212-555-0199", "2125550199", "212 555 0199", "(212) 555-0199", "+1 212 555 0199", "+12125550199")}) == 1
+    assert flat("+49 171 5557713") == flat("+491715557713") and flat("06 12 34 56 78") == flat("0612345678")
+
+
+def test_long_tokens_and_numbers_that_are_none(spark, frame):
+    given = ["a" * 10_000 + "@web.de", "ü" * 300 + "@" + "b" * 300 + ".de", "in 1999 2004 300 4000", "order 1234567890", "555 555 55555", "1 212 555 0199 7", "0" * 5000]
+    rows = {r["doc_id"]: r for r in pii.pseudonymised(frame(given), b"k").collect()}
+    assert [rows[i]["n_values"] for i in range(len(given))] == [1, 1, 0, 0, 0, 0, 0]
+    assert all(len(rows[i]["text"]) == len(t) for i, t in enumerate(given)) and rows[0]["text"] != given[0]
+
+
+def test_permutation_against_a_second_version():
+    """A network of ten rounds over pairs of digits of base m, written down again."""
+    import hashlib
+
+    def plain(key, x, n, tweak):
+        m = next(m for m in range(1, n + 1) if m * m >= n) if n < 1 << 30 else 1 << (n.bit_length() + 1) // 2
+        size = (m.bit_length() + 71) // 8
+        mark = hashlib.sha256(len(tweak).to_bytes(8, "big") + tweak + n.to_bytes((n.bit_length() + 7) // 8, "big")).digest()
+        while True:
+            left, right = x // m, x % m
+            for i in range(10):
+                word = hashlib.shake_256(key + bytes([i]) + mark + right.to_bytes(size, "big")).digest(size)
+                left, right = right, (left + int.from_bytes(word, "big")) % m
+            x = left * m + right
+            if x < n:
+                return x
+
+    for n in (2, 7, 1000, 12_345, 1 << 64, 10**17):
+        for x in (0, 1, n // 2, n - 1):
+            assert pii.Feistel(b"key").forward(x, n, b"t" * 400) == plain(b"key", x, n, b"t" * 400)
+    number = plain(b"key", 1715557713, 10**10, b"phone49")
+    while number < 10**9 or pii.north_american(str(number)):
+        number = plain(b"key", number, 10**10, b"phone49")
+    assert pii.Pseudonyms(b"key").phone("+49 171 5557713") == f"+49 {str(number)[:3]} {str(number)[3:]}"
