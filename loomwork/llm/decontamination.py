@@ -5,8 +5,9 @@ weighted Jaccard similarity of five-word shingles with it of 0.8 or more. Words
 of letters and digits, lower-cased. A shingle weighs its count times its letters. At its end a
 text has windows of fewer words.
 
-1. Windows. A window without any shingle of an item of its size has similarity 0 with all of
-   them. All others are taken: every start from which a window holds a place of such a shingle.
+1. Windows. A window of similarity 0.8 or more shares at least 0.8 of the item's weight, so the shingles of items of its size
+   that it holds weigh at least 0.8 of the lightest such item. Every window that may is taken; what a benchmark's items have
+   in common, such as their first words, makes none.
 2. Fingerprints. The signs of 128 sums over shingle hashes, each times the square root of its
    weight, for items and windows. With these roots the cosine is at least 8/9 at similarity 0.8,
    whatever the weights.
@@ -41,6 +42,7 @@ RADIUS, NEAR = 29, 2
 HALF = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 BLOCKS = 2 * len(HALF)
 MOST_SHINGLES, MOST_WINDOWS = 500_000, 500_000
+STEP = 1 << 30
 
 
 def words(text: Column) -> Column:
@@ -52,10 +54,6 @@ def each_shingle(w: Column, of) -> Column:
     return F.when(F.size(w) >= WIDTH, F.transform(F.sequence(F.lit(1), F.size(w) - WIDTH + 1), lambda i: of(F.slice(w, i, WIDTH))))
 
 
-def shingle_hashes(w: Column) -> Column:
-    return each_shingle(w, lambda x: F.xxhash64(x))
-
-
 def shingle_places(w: Column) -> Column:
     """Hash and letters of each."""
     return each_shingle(w, lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(F.array_join(x, "")).cast("long").alias("letters")))
@@ -115,8 +113,9 @@ class Items:
         self.prints = prints.select("item_key", "n_words", F.col("print_a").alias("item_a"), F.col("print_b").alias("item_b"), F.col("uneven").alias("item_uneven"))
         #: (item_key, n_words, item_a, item_b, block, bits)
         self.index = kept(near_blocks(prints.withColumns({"item_a": F.col("print_a"), "item_b": F.col("print_b")}), "item_key", "n_words", "item_a", "item_b"), "index")
-        #: (item_key, n_words, h)
-        self.hashes = kept(places.select("item_key", "n_words", "h").distinct(), "hashes")
+        #: (item_key, n_words, h, least): with the weight of the lightest item of the size
+        least = self.whole.join(items.select("item_key", "n_words"), "item_key").groupBy("n_words").agg(F.min("item_whole").alias("least"))
+        self.hashes = kept(places.select("item_key", "n_words", "h").distinct().join(least, "n_words"), "hashes")
         self.few = self.index.count() <= MOST_SHINGLES and self.hashes.count() <= MOST_SHINGLES
 
     def small(self, df: DataFrame) -> DataFrame:
@@ -141,12 +140,17 @@ def text_key() -> Column:
 def matched_texts(docs: DataFrame, items: Items) -> DataFrame:
     """(text_key, windows(n_words, start), p, names) of each text with a shingle of an item, written."""
     rows = docs.select(text_key(), "text")
-    shingled = rows.select("text_key", words(F.col("text")).alias("w")).select("text_key", F.posexplode(shingle_hashes(F.col("w"))).alias("place", "h"))
-    found = shingled.join(items.small(items.hashes.select("h", "n_words").distinct()), "h").select("text_key", "n_words", "place").distinct()
+    shingled = rows.select("text_key", words(F.col("text")).alias("w")).select("text_key", F.posexplode(shingle_places(F.col("w"))).alias("place", "p")).select("text_key", "place", "p.*")
+    found = shingled.join(items.small(items.hashes.select("h", "n_words", "least").distinct()), "h").select("text_key", "n_words", "place", "letters", "least").distinct()
     # the starts of the windows that hold this place but not the one before
     along = Window.partitionBy("text_key", "n_words").orderBy("place")
     first = F.greatest(F.lit(0), F.col("place") - F.col("n_words") + WIDTH, F.coalesce(F.lag("place").over(along) + 1, F.lit(0)))
-    ranges = found.select("text_key", F.struct("n_words", first.alias("first"), F.col("place").alias("last")).alias("range"))
+    # of these the last one holds most: all such places of the item's length from here on, in steps of one length, or at most one place more
+    steps = F.floor(F.col("place").cast("long") * STEP / F.greatest(F.col("n_words") - WIDTH, F.lit(1))).cast("long")
+    found = found.withColumn("steps", steps).withColumn("first", first)
+    held = F.sum("letters").over(Window.partitionBy("text_key", "n_words").orderBy("steps").rangeBetween(0, STEP + 1))
+    found = found.withColumn("held", held).where(F.col("held") >= (THRESHOLD - 1e-6) * F.col("least"))
+    ranges = found.select("text_key", F.struct("n_words", "first", F.col("place").alias("last")).alias("range"))
     ranges = kept(ranges.groupBy("text_key").agg(F.collect_list("range").alias("ranges")), "ranges")
     # each entry is of fixed size, so their number bounds what is broadcast
     light = (ranges.agg(F.sum(F.size("ranges"))).first()[0] or 0) <= MOST_WINDOWS

@@ -273,3 +273,17 @@ def test_time_is_linear_in_a_text(spark, frame):
         assert decontamination.contaminated(frame(["la " * n]), items).count() == 1
         took.append(time.time() - began)
     assert took[1] < 8 * took[0] + 5, took
+
+
+def test_a_phrase_that_all_items_share_makes_no_windows(spark, frame, prose):
+    """A hundred items of different lengths begin alike, and texts hold that beginning; two hold an item."""
+    items = [(i, f"which of the following is {prose(8 + i, 3000 + i)}") for i in range(100)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    given = [f"{prose(150, i)} which of the following is {prose(150, 500 + i)}" for i in range(20)]
+    given += [f"{given[0]} {items[30][1]} {given[1]}", f"{items[70][1]} {given[2]}"]
+    matched = decontamination.matched_texts(frame(given), decontamination.Items(bench))
+    rows = matched.select(F.explode("windows").alias("w")).agg(F.sum(F.col("w.n_words") - 4)).first()[0] or 0
+    words = sum(len(t.split()) for t in given)
+    assert rows < 60 * words
+    found = decontamination.contaminated(frame(given), bench).select("doc_id", "item_id").collect()
+    assert sorted(map(tuple, found)) == [(20, 30), (21, 70)]

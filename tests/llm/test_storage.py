@@ -337,7 +337,7 @@ def test_every_format_inverts_under_any_key():
             text, found = there.text(f"of {value} now")
             again, same = back.text(text)
             assert again == f"of {value} now" and len(found) == len(same) == 1, (k, value, text)
-            assert found[0][0] == same[0][0] and len(text) == len(again)
+            assert found[0][0] == same[0][0] and (found[0][0] == "ip" or len(text) == len(again))
 
 
 def test_numbers_are_linked_in_every_spelling():
