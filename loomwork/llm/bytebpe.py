@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from loomwork.llm.common import kept, table
 
-BUCKETS, MOST, SHORT = 1 << 16, 1 << 17, 256
+BUCKETS, MOST, SHORT = 1 << 16, 1 << 19, 256
 NONE = (1 << 31) - 1
 
 _EVERY = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
@@ -188,23 +188,44 @@ def _all(rank: Callable[[Column], Column], acc: Column, m: Column) -> Column:
     return let(marked(flags), merged)
 
 
+def _short(rank: Callable[[Column], Column], data: Column) -> Column:
+    """Merges one pair at a time.
+
+    A piece is (rank of the pair it begins, its place in the bytes, its length, the pair's length), so the least of all is the leftmost
+    pair of the least rank, and a merge touches that piece and its neighbours only.
+    """
+    n = F.length(data)
+    pair = lambda at, size: F.coalesce(rank(F.substring(data, at + 1, size)), F.lit(NONE))
+    piece = lambda r, at, size, two: F.struct(r.alias("r"), at.alias("at"), size.alias("size"), two.alias("two"))
+    start = F.transform(F.sequence(F.lit(0), n - 1), lambda i: piece(F.when(i < n - 1, pair(i, F.lit(2))).otherwise(NONE), i, F.lit(1), F.least(F.lit(2), n - i)))
+
+    def step(pieces: Column, m: Column) -> Column:
+        def around(x: Column) -> Column:
+            wide = m["size"] + x["two"]
+            last = x["two"] == x["size"]
+            merged = piece(F.when(last, NONE).otherwise(pair(m["at"], wide)), m["at"], m["two"], wide)
+            before = piece(pair(x["at"], x["size"] + m["two"]), x["at"], x["size"], x["size"] + m["two"])
+            return F.when(x["at"] == m["at"] + m["size"], merged).when(x["at"] + x["size"] == m["at"], before).otherwise(x)
+
+        return F.transform(F.filter(pieces, lambda x: x["at"] != m["at"]), around)
+
+    merge = lambda acc, _: let(F.array_min(acc), lambda m: F.when(m["r"] == NONE, acc).otherwise(step(acc, m)))
+    return F.aggregate(F.sequence(F.lit(2), n), start, merge, lambda acc: F.transform(acc, lambda x: F.substring(data, x["at"] + 1, x["size"])))
+
+
 def merged_pieces(rank: Callable[[Column], Column], data: Column, short: int = SHORT) -> Column:
     """The byte strings that a piece's bytes (two at least) are merged into."""
     single = F.transform(F.sequence(F.lit(1), F.length(data)), lambda i: F.substring(data, i, F.lit(1)))
     start = let(single, lambda p: F.struct(p.alias("p"), _pairs(rank, p).alias("r")))
     least = lambda acc: F.coalesce(F.array_min(acc["r"]), F.lit(NONE))
 
-    def one(acc: Column, _: Column) -> Column:
-        return let(least(acc), lambda m: F.when(m == NONE, acc).otherwise(_one(rank, acc, F.array_position(acc["r"], m).cast("int"))))
-
     def many(acc: Column, _: Column) -> Column:
         """Once nothing is left to merge, the ranks go, so that the steps left over cost nothing."""
         done = F.struct(acc["p"].alias("p"), F.array().cast("array<int>").alias("r"))
         return F.when(F.size(acc["r"]) == 0, acc).otherwise(let(least(acc), lambda m: F.when(m == NONE, done).otherwise(_all(rank, acc, m))))
 
-    steps = F.sequence(F.lit(2), F.length(data))
-    fold = lambda step: F.aggregate(steps, start, step, lambda acc: acc["p"])
-    return F.when(F.length(data) <= short, fold(one)).otherwise(fold(many))
+    long = F.aggregate(F.sequence(F.lit(2), F.length(data)), start, many, lambda acc: acc["p"])
+    return F.when(F.length(data) <= short, _short(rank, data)).otherwise(long)
 
 
 def ids_of(maps: Column, piece: Column, short: int = SHORT) -> Column:
