@@ -135,4 +135,4 @@ def test_funnels_with_nulls_and_ties(held):
     rng = random.Random(6)
     rows = [(i, None if i % 29 == 0 else DAY + dt.timedelta(minutes=rng.randrange(2000)), None if i % 23 == 0 else i % 4, rng.choice(["view", "click", "purchase", None]), 1.0) for i in range(400)]
     found = held("stream_closed_funnels", timers, events=(EVENTS, rows))
-    assert {r[1] for r in found} == {"1", "2", "3"}
+    assert {r[2] for r in found} == {"1", "2", "3"}
