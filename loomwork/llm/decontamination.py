@@ -54,6 +54,10 @@ def each_shingle(w: Column, of) -> Column:
     return F.when(F.size(w) >= WIDTH, F.transform(F.sequence(F.lit(1), F.size(w) - WIDTH + 1), lambda i: of(F.slice(w, i, WIDTH))))
 
 
+def shingle_hashes(w: Column) -> Column:
+    return each_shingle(w, lambda x: F.xxhash64(x))
+
+
 def shingle_places(w: Column) -> Column:
     """Hash and letters of each."""
     return each_shingle(w, lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(F.array_join(x, "")).cast("long").alias("letters")))
@@ -113,9 +117,9 @@ class Items:
         self.prints = prints.select("item_key", "n_words", F.col("print_a").alias("item_a"), F.col("print_b").alias("item_b"), F.col("uneven").alias("item_uneven"))
         #: (item_key, n_words, item_a, item_b, block, bits)
         self.index = kept(near_blocks(prints.withColumns({"item_a": F.col("print_a"), "item_b": F.col("print_b")}), "item_key", "n_words", "item_a", "item_b"), "index")
-        #: (item_key, n_words, h, least): with the weight of the lightest item of the size
+        #: (item_key, n_words, h, letters, least): with the weight of the lightest item of the size
         least = self.whole.join(items.select("item_key", "n_words"), "item_key").groupBy("n_words").agg(F.min("item_whole").alias("least"))
-        self.hashes = kept(places.select("item_key", "n_words", "h").distinct().join(least, "n_words"), "hashes")
+        self.hashes = kept(places.select("item_key", "n_words", "h", "letters").distinct().join(least, "n_words"), "hashes")
         self.few = self.index.count() <= MOST_SHINGLES and self.hashes.count() <= MOST_SHINGLES
 
     def small(self, df: DataFrame) -> DataFrame:
@@ -140,8 +144,8 @@ def text_key() -> Column:
 def matched_texts(docs: DataFrame, items: Items) -> DataFrame:
     """(text_key, windows(n_words, start), p, names) of each text with a shingle of an item, written."""
     rows = docs.select(text_key(), "text")
-    shingled = rows.select("text_key", words(F.col("text")).alias("w")).select("text_key", F.posexplode(shingle_places(F.col("w"))).alias("place", "p")).select("text_key", "place", "p.*")
-    found = shingled.join(items.small(items.hashes.select("h", "n_words", "least").distinct()), "h").select("text_key", "n_words", "place", "letters", "least").distinct()
+    shingled = rows.select("text_key", words(F.col("text")).alias("w")).select("text_key", F.posexplode(shingle_hashes(F.col("w"))).alias("place", "h"))
+    found = shingled.join(items.small(items.hashes.select("h", "n_words", "letters", "least").distinct()), "h").select("text_key", "n_words", "place", "letters", "least").distinct()
     # the starts of the windows that hold this place but not the one before
     along = Window.partitionBy("text_key", "n_words").orderBy("place")
     first = F.greatest(F.lit(0), F.col("place") - F.col("n_words") + WIDTH, F.coalesce(F.lag("place").over(along) + 1, F.lit(0)))
