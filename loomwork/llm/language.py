@@ -16,6 +16,7 @@ values as going word by word.
 
 Nulls: `und` with score 0 where the text is null or has no letter, or where nothing could
 be learned. A null language or id isn't learned from. Repeated rows are predicted alike.
+Of languages with equal scores the first by name is given. An empty table gives no rows.
 """
 
 from __future__ import annotations

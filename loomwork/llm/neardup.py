@@ -28,6 +28,7 @@ documents are over all documents, copies included.
 Results: a class's id is its least doc_id. Null text: as an empty one. Texts without words
 are duplicates only of equal texts; with fewer than five words, the words are one shingle.
 Null ids don't become a class's id unless there is no other.
+An empty table gives no rows; ties don't occur, as links have no order and a class's id is a minimum.
 """
 
 from __future__ import annotations

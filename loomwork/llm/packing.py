@@ -16,6 +16,7 @@ across shards is one count for each shard.
 
 Nulls and ties: a null text is an empty one, so its ids are the end id alone; null ids
 come first; equal ids follow each other in the order of their texts' hashes, all kept.
+An empty table gives no rows, and shards without documents.
 """
 
 from __future__ import annotations

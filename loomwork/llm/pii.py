@@ -27,6 +27,7 @@ Formats and what validates them:
 Equal values give equal pseudonyms in every spelling of marks; dates of different widths are different
 values. What fails validation stays as it is. A null text gives a null text and no values; an
 empty one likewise stays empty. Null ids and repeated rows are kept.
+An empty table gives no rows; there are no ties, as the leftmost and then the first listed format is taken.
 """
 
 from __future__ import annotations

@@ -26,7 +26,7 @@ of a repeat are in segments of one minimizer, and these go to one shard.
 
 Copies of a text are handled once: copies of WIDTH words or more are removed whole. Null
 text: no words. Null ids and repeated rows keep a row of their own. Texts shorter than a
-window lose nothing.
+window lose nothing. An empty table gives no rows; there are no ties, as every place of a repeated window goes.
 """
 
 from __future__ import annotations

@@ -25,6 +25,7 @@ crc32(doc_id) mod 4 is not 2.
 Nulls: a null text scores as an empty one, whose score is the calibrated prior.
 A null id is never held out. Repeated rows score alike, each in a row of its own. Equal texts, and
 rows of one id, with different labels count as toxic. With no labelled row of either class every score is 0.
+An empty table of documents gives no rows; equal scores need no order, as each row is judged by itself.
 """
 
 from __future__ import annotations
