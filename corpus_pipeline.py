@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and
 returns the columns of documents; the last returns what its files hold. run() writes the
 result of each stage to the shared folder and reads it again for the next.
+
+Nulls, repeats, ties and empty tables are as each stage's operator defines them: a null text is an empty one, which is not toxic, is a copy of
+other empty texts, leaks nothing, and has the end id alone; null ids stay, and are left as a class's only if it has no other; of a class of near duplicates the row of the
+least id stays; a source of null is one of its own; an empty table of documents goes through to no rows.
 """
 
 from __future__ import annotations
