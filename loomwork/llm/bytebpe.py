@@ -114,7 +114,7 @@ def with_literal(value: DataFrame, build: Callable[[Column], DataFrame]) -> Data
 
 
 def _place(key: Column) -> Column:
-    return (F.crc32(key.cast("binary")) % BUCKETS).cast("int")
+    return F.crc32(key.cast("binary")).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
 def lookup_table(rows: DataFrame) -> DataFrame:
@@ -269,7 +269,7 @@ def encoded(docs: DataFrame, path: str, pattern: str | None = None, most: int =
 
 
 def decoded(df: DataFrame, path: str) -> DataFrame:
-    """With `data`, the bytes of the column `ids`; a column of that name is replaced. Nulls stay null, unknown ids too."""
+    """With `data`, the bytes of the column `ids`; a column of that name is replaced. Nulls stay null, unknown ids give null, null ids no bytes."""
     spark = df.sparkSession
     have = ranks(path)
     hexes = [None] * (1 + max(have.values()))
@@ -279,7 +279,10 @@ def decoded(df: DataFrame, path: str) -> DataFrame:
 
     def build(table: Column) -> DataFrame:
         parts = F.transform("ids", lambda i: F.get(table, i))
-        return df.withColumn("data", F.when(~F.exists("ids", lambda i: F.get(table, i).isNull()), F.unhex(F.array_join(parts, ""))))
+        known = (F.size("ids") == 0) | ((F.array_min("ids") >= 0) & (F.array_max("ids") < len(hexes)))
+        if None in hexes:  # then the ends don't tell
+            known = known & ~F.exists("ids", lambda i: F.get(table, i).isNull())
+        return df.withColumn("data", F.when(known, F.unhex(F.array_join(parts, ""))))
 
     return with_literal(vocabulary, build)
 
@@ -296,5 +299,5 @@ def byte_bpe() -> str:
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     both = decoded(encoded(docs, byte_bpe()).select("doc_id", "ids"), byte_bpe())
-    joined = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
