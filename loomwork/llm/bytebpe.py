@@ -2,7 +2,7 @@
 
 A text is cut into pieces by the tokenizer's pattern. A piece's bytes are folded: as long as two neighbours stand
 together in the rank map, the pair of the least rank, the leftmost of equals, becomes one. The rank map is a literal of
-the plan, an array of small maps by crc32 so that a lookup doesn't walk the vocabulary; it has the vocabulary's size
+the plan, an array of small maps by hash so that a lookup doesn't walk the vocabulary; it has the vocabulary's size
 whatever the input. Ids become bytes again by an array of the vocabulary's byte strings, put together in order.
 
 Distinct pieces are counted over all texts, and those seen most often (`MOST` at most, the bound of what a plan carries)
@@ -36,6 +36,7 @@ from loomwork.llm.common import kept, table
 
 BUCKETS, MOST, SHORT = 1 << 16, 1 << 19, 256
 NONE = (1 << 31) - 1
+FIELD = (1 << 9) - 1  # places in a piece folded one pair at a time: `short` lies below
 
 _EVERY = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
 
@@ -114,11 +115,11 @@ def with_literal(value: DataFrame, build: Callable[[Column], DataFrame]) -> Data
 
 
 def _place(key: Column) -> Column:
-    return F.crc32(key.cast("binary")).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+    return F.hash(key).bitwiseAND(F.lit(BUCKETS - 1))
 
 
 def lookup_table(rows: DataFrame) -> DataFrame:
-    """(key, value) of bounded size as one array of maps: a key is in the map at its crc32 modulo BUCKETS."""
+    """(key, value) of bounded size as one array of maps: a key is in the map at its hash modulo BUCKETS."""
     spark = rows.sparkSession
     parts = rows.select(_place(F.col("key")).alias("part"), F.struct("key", "value").alias("entry")).groupBy("part").agg(F.collect_list("entry").alias("entries"))
     every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("part")).join(parts, "part", "left")
@@ -189,28 +190,39 @@ def _all(rank: Callable[[Column], Column], acc: Column, m: Column) -> Column:
 
 
 def _short(rank: Callable[[Column], Column], data: Column) -> Column:
-    """Merges one pair at a time.
+    """Merges one pair at a time, of FIELD bytes at most.
 
-    A piece is (rank of the pair it begins, its place in the bytes, its length, the pair's length), so the least of all is the leftmost
-    pair of the least rank, and a merge touches that piece and its neighbours only.
+    A piece is one integer, from the top: the rank of the pair it begins, its place in the bytes, its end and the pair's end. So the least of all
+    is the leftmost pair of the least rank, and a merge touches that piece and its neighbours only.
     """
-    n = F.length(data)
-    pair = lambda at, size: F.coalesce(rank(F.substring(data, at + 1, size)), F.lit(NONE))
-    piece = lambda r, at, size, two: F.struct(r.alias("r"), at.alias("at"), size.alias("size"), two.alias("two"))
-    start = F.transform(F.sequence(F.lit(0), n - 1), lambda i: piece(F.when(i < n - 1, pair(i, F.lit(2))).otherwise(NONE), i, F.lit(1), F.least(F.lit(2), n - i)))
+    n = F.length(data).cast("long")
+    at_bits, end_bits, last_bits = FIELD << 18, FIELD << 9, FIELD
+    at = lambda x: F.shiftright(x, 18).bitwiseAND(F.lit(FIELD))
+    end = lambda x: F.shiftright(x, 9).bitwiseAND(F.lit(FIELD))
+    last = lambda x: x.bitwiseAND(F.lit(last_bits))
+    cut = lambda begin, until: F.substring(data, begin.cast("int") + 1, (until - begin).cast("int"))
+    high = lambda r: F.shiftleft(r.cast("long"), 27)
+    pair = lambda begin, until: high(F.coalesce(rank(cut(begin, until)), F.lit(NONE)))
+    none = F.lit(NONE << 27)
+
+    def single(i: Column) -> Column:
+        two = F.least(i + 2, n)
+        return F.when(i < n - 1, pair(i, two)).otherwise(none) + F.shiftleft(i, 18) + F.shiftleft(i + 1, 9) + two
 
     def step(pieces: Column, m: Column) -> Column:
         def around(x: Column) -> Column:
-            wide = m["size"] + x["two"]
-            last = x["two"] == x["size"]
-            merged = piece(F.when(last, NONE).otherwise(pair(m["at"], wide)), m["at"], m["two"], wide)
-            before = piece(pair(x["at"], x["size"] + m["two"]), x["at"], x["size"], x["size"] + m["two"])
-            return F.when(x["at"] == m["at"] + m["size"], merged).when(x["at"] + x["size"] == m["at"], before).otherwise(x)
-
-        return F.transform(F.filter(pieces, lambda x: x["at"] != m["at"]), around)
-
-    merge = lambda acc, _: let(F.array_min(acc), lambda m: F.when(m["r"] == NONE, acc).otherwise(step(acc, m)))
-    return F.aggregate(F.sequence(F.lit(2), n), start, merge, lambda acc: F.transform(acc, lambda x: F.substring(data, x["at"] + 1, x["size"])))
+            alone = last(x) == end(x)
+            merged = F.when(alone, none).otherwise(pair(at(m), last(x))) + m.bitwiseAND(F.lit(at_bits)) + x.bitwiseAND(F.lit(end_bits | last_bits))
+            before = pair(at(x), last(m)) + x.bitwiseAND(F.lit(at_bits | end_bits)) + last(m)
+            follows = x.bitwiseAND(F.lit(at_bits)) == F.shiftleft(m.bitwiseAND(F.lit(end_bits)), 9)
+            leads = F.shiftleft(x.bitwiseAND(F.lit(end_bits)), 9) == m.bitwiseAND(F.lit(at_bits))
+            return F.when(follows, merged).when(leads, before).otherwise(x)
+
+        return F.transform(F.filter(pieces, lambda x: x != m), around)
+
+    merge = lambda acc, _: let(F.array_min(acc), lambda m: F.when(m >= none, acc).otherwise(step(acc, m)))
+    start = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), single)
+    return F.aggregate(F.sequence(F.lit(2), F.length(data)), start, merge, lambda acc: F.transform(acc, lambda x: cut(at(x), end(x))))
 
 
 def merged_pieces(rank: Callable[[Column], Column], data: Column, short: int = SHORT) -> Column:
