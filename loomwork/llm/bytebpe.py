@@ -36,7 +36,7 @@ from loomwork.llm.common import kept, table
 
 BUCKETS, MOST, SHORT = 1 << 16, 1 << 19, 256
 NONE = (1 << 31) - 1
-FIELD = (1 << 9) - 1  # places in a piece folded one pair at a time: `short` lies below
+FIELD = (1 << 9) - 1  # the most bytes that a piece folded one pair at a time may have
 
 _EVERY = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
 
@@ -237,7 +237,7 @@ def merged_pieces(rank: Callable[[Column], Column], data: Column, short: int = S
         return F.when(F.size(acc["r"]) == 0, acc).otherwise(let(least(acc), lambda m: F.when(m == NONE, done).otherwise(_all(rank, acc, m))))
 
     long = F.aggregate(F.sequence(F.lit(2), F.length(data)), start, many, lambda acc: acc["p"])
-    return F.when(F.length(data) <= short, _short(rank, data)).otherwise(long)
+    return F.when(F.length(data) <= min(short, FIELD), _short(rank, data)).otherwise(long)
 
 
 def ids_of(maps: Column, piece: Column, short: int = SHORT) -> Column:
