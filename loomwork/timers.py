@@ -3,19 +3,21 @@
 Each view opens a funnel: it is at step 2 once the same user clicks after it, and at step 3 once they buy after that click, both
 within `within` seconds of the view. Its row is given out when the watermark says that no event of this time can come any more.
 
-A user's events wait in a map state, a list of them for each hour (of `within` seconds). When an hour and the one after it are over, a timer
-closes the funnels of that hour and drops its events, so the state holds the last two hours and what has come since the watermark, and a batch's
-events may come in any order. Later events are dropped by the watermark.
+State is held for users of neighbouring ids together, USERS at most however large the table is, as each key costs several calls to the state store
+in a batch. Their events wait in one value, packed. A timer stands for the oldest hour (of `within` seconds) that waits: when it and the one after it
+are over, the funnels of all hours that are over by then are closed at once and their events dropped, and the timer of the next one is set. So the
+state holds the last two hours and what has come since the watermark, and a batch's events may come in any order. Later events are dropped by the watermark.
 """
 
 from __future__ import annotations
 
-import json
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain, groupby
+from operator import itemgetter
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
@@ -24,6 +26,7 @@ from loomwork.streams import dealt_by_time, in_batches
 from loomwork.tables import load
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+USERS = 64
 ROW = "user_id long, view_id long, step long, click_id long, purchase_id long"
 
 
@@ -50,35 +53,65 @@ class Funnel(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.hours = handle.getMapState("hours", "hour long", "events string")
-
-    def held(self, hour: int) -> list[list]:
-        """[kind, microseconds, id] of the hour's events so far."""
-        return json.loads(self.hours.getValue((hour,))[0]) if self.hours.containsKey((hour,)) else []
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for chunk in rows:
-            for hour, part in chunk.groupby(chunk["us"] // (self.within * 1_000_000)):
-                events = self.held(int(hour)) + [[self.KINDS.index(k), int(us), int(i)] for k, us, i in zip(part["event_type"], part["us"], part["event_id"], strict=True)]
-                self.hours.updateValue((int(hour),), (json.dumps(events),))
-                self.handle.registerTimer((int(hour) + 2) * self.within * 1000)
-        yield pd.DataFrame({c.split()[0]: pd.Series(dtype="int64") for c in ROW.split(", ")})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        hour = expiredTimerInfo.getExpiryTimeInMs() // (self.within * 1000) - 2
-        events, after = self.held(hour), self.held(hour + 1)
-        self.hours.removeKey((hour,))
-        of = lambda kind, rows: sorted((us, i) for k, us, i in rows if k == kind)
-        rows = funnels(of(0, events), of(1, events + after), of(2, events + after), self.within)
-        frame = pd.DataFrame([(key[0], *r) for r in rows], columns=[c.split()[0] for c in ROW.split(", ")])
-        yield frame.astype({"user_id": "int64", "view_id": "int64", "step": "int64", "click_id": "Int64", "purchase_id": "Int64"})
+        self.waiting = handle.getValueState("waiting", "events binary, due long")
+
+    def held(self) -> tuple[list[tuple[int, int, int, int]], int | None]:
+        """(user, microseconds, id, kind) of the events that wait, and the hour that the timer stands for."""
+        found = self.waiting.get()
+        if found is None:
+            return [], None
+        flat = array("q", bytes(found[0]))
+        return list(zip(*(flat[i::4] for i in range(4)), strict=True)), found[1]
+
+    def hold(self, events: list[tuple[int, int, int, int]], due: int) -> None:
+        self.waiting.update((array("q", chain.from_iterable(events)).tobytes(), due))
+
+    def hour(self, us: int) -> int:
+        return us // (self.within * 1_000_000)
+
+    def over(self, hour: int) -> int:
+        """The milliseconds at which the hour and the one after it are over."""
+        return (hour + 2) * self.within * 1000
+
+    def wake(self, hour: int) -> None:
+        self.handle.registerTimer(self.over(hour) - 1)  # a timer goes off once the watermark is beyond it
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new = [(r["user_id"], r["us"], r["event_id"], r["kind"]) for r in rows]
+        events, due = self.held()
+        first = self.hour(min(us for _, us, _, _ in new))
+        if due is None or first < due:
+            self.wake(first)
+            due = first
+        self.hold(events + new, due)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now, events = timerValues.getCurrentWatermarkInMs(), sorted(self.held()[0])
+        is_over = lambda us: self.over(self.hour(us)) <= now
+        left = [e for e in events if not is_over(e[1])]
+        if left:
+            due = self.hour(min(us for _, us, _, _ in left))
+            self.wake(due)
+            self.hold(left, due)
+        else:
+            self.waiting.clear()
+        for user, found in groupby(events, key=itemgetter(0)):
+            views, clicks, purchases = of = [], [], []
+            for _, us, i, kind in found:
+                if kind or is_over(us):
+                    of[kind].append((us, i))
+            for view, step, click, purchase in funnels(views, clicks, purchases, self.within):
+                yield Row(user_id=user, view_id=view, step=step, click_id=click, purchase_id=purchase)
 
 
 def funnel(stream: DataFrame, within: int = 3600, late: str = "10 minutes") -> DataFrame:
     """Of a stream (user_id, event_id, event_type, ts); rows with a null in one of these open and continue nothing."""
     rows = stream.where(F.col("event_type").isin(*Funnel.KINDS)).dropna(subset=["user_id", "event_id", "ts"]).withWatermark("ts", late)
-    keyed = rows.select("user_id", "event_id", "event_type", "ts", F.unix_micros("ts").alias("us")).groupBy("user_id")
-    return keyed.transformWithStateInPandas(Funnel(within), ROW, "Append", "EventTime")
+    kind = F.array_position(F.lit(list(Funnel.KINDS)), F.col("event_type")) - 1
+    users = F.shiftright("user_id", USERS.bit_length() - 1)
+    keyed = rows.select(users.alias("users"), "user_id", "event_id", kind.alias("kind"), "ts", F.unix_micros("ts").alias("us")).groupBy("users")
+    return keyed.transformWithState(Funnel(within), ROW, "Append", "EventTime")
 
 
 def closed_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:

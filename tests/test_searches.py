@@ -136,3 +136,55 @@ def test_funnels_with_nulls_and_ties(held):
     rows = [(i, None if i % 29 == 0 else DAY + dt.timedelta(minutes=rng.randrange(2000)), None if i % 23 == 0 else i % 4, rng.choice(["view", "click", "purchase", None]), 1.0) for i in range(400)]
     found = held("stream_closed_funnels", timers, events=(EVENTS, rows))
     assert {r[2] for r in found} == {"1", "2", "3"}
+
+
+def test_funnels_call_the_state_a_few_times_whatever_the_hours():
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    from loomwork import timers
+
+    hour, users = 3_600_000_000, 64
+
+    class Handle:
+        value, calls, timers = None, 0, ()
+
+        def getValueState(self, name, schema):  # noqa: N802
+            return SimpleNamespace(get=self.get, update=self.update, clear=lambda: self.update(None))
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+        def registerTimer(self, ms):  # noqa: N802
+            self.calls, self.timers = self.calls + 1, (*self.timers, ms)
+
+    calls = []
+    for hours in (1, 50):
+        handle, funnel = Handle(), timers.Funnel(3600)
+        funnel.init(handle)
+        # of each user in each second hour: a view, a click in the hour after it, three quarters of an hour later, and a purchase too late
+        rows = [Row(user_id=u, event_id=3 * h + k, us=2 * h * hour + (k + 1) * hour // 4 * (k + 1), kind=k) for u in range(users) for h in range(hours) for k in range(3)]
+        random.Random(3).shuffle(rows)
+        assert list(funnel.handleInputRows((0,), iter(rows), None)) == []
+        assert handle.timers == (2 * 3600 * 1000 - 1,)
+        mark = SimpleNamespace(getCurrentWatermarkInMs=lambda h=hours: 2 * h * 3600 * 1000)
+        found = list(funnel.handleExpiredTimer((0,), mark, None))
+        assert len(found) == users * hours and {r.user_id for r in found} == set(range(users))
+        assert {(r.step, r.click_id, r.purchase_id) for r in found} == {(2, 3 * h + 1, None) for h in range(hours)}
+        calls.append(handle.calls)
+    assert calls[0] == calls[1] <= 6
+
+
+def test_funnels_of_many_users_close_at_their_hours(held):
+    """Users in and across the sets whose state is held together, negative ids too, over days and an exact end of the last hour."""
+    from loomwork import timers
+
+    rng = random.Random(7)
+    rows = [(i, DAY + dt.timedelta(minutes=rng.randrange(600)), rng.choice([-65, -64, -1, 0, 63, 64, 127, 128, 1 << 60]), rng.choice(["view", "click", "purchase"]), 1.0) for i in range(600)]
+    rows += [(600, DAY + dt.timedelta(hours=10, minutes=10), 1, "view", 1.0)]  # its watermark is the very end of an hour
+    assert len({r[-1] for r in held("stream_closed_funnels", timers, events=(EVENTS, rows))}) > 5
