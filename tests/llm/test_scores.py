@@ -125,6 +125,47 @@ def test_quality_does_not_depend_on_the_order_of_rows(spark, prose):
     assert a == pytest.approx(b, abs=1e-8)
 
 
+def test_quality_learns_from_every_label(spark, monkeypatch):
+    """More labels than the 8000 that were once drawn: each is in a group, and in its group each of a class meets each of the other."""
+    n = 9000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.when(F.col("id") % 90 == 0, "### ").otherwise("more. "), F.hex("id")).alias("text"))
+    label = docs.select("doc_id", F.when(F.col("doc_id") % 90 == 0, 0).otherwise(1).alias("quality"))
+    seen = []
+
+    def watched(train, counts, group):
+        seen.append((counts, [(np.frombuffer(r.good).size, np.frombuffer(r.bad).size) for r in dealt(train.select("doc_id", "label", F.array(F.col("doc_id").cast("double")).alias("x")), counts, group).collect()]))
+        return dealt(train, counts, group)
+
+    dealt = quality_model.dealt
+    monkeypatch.setattr(quality_model, "dealt", watched)
+    out = quality(docs, label).toPandas().set_index("doc_id").predicted
+    assert len(out) == n and (out[out.index % 90 == 0] == 0).mean() > 0.9 and (out[out.index % 90 > 0] == 1).mean() > 0.9
+    [(counts, sizes)] = seen
+    assert counts == {True: n - 100, False: 100}
+    assert sum(g for g, _ in sizes) == n - 100 and sum(b for _, b in sizes) >= 100 and min(b for _, b in sizes) > 0 and max(g for g, _ in sizes) < 400
+
+
+def test_sums_over_pairs_against_pair_by_pair():
+    rng = np.random.default_rng(6)
+    good, bad, w = rng.normal(size=(7, 3)), rng.normal(size=(5, 3)), rng.normal(size=3)
+    gradient, hessian = np.zeros(3), np.zeros((3, 3))
+    for g in good:
+        for b in bad:
+            p = 1 / (1 + np.exp((g - b) @ w))
+            gradient -= p * (g - b)
+            hessian += p * (1 - p) * np.outer(g - b, g - b)
+    found = quality_model.all_pairs(good, bad, w)
+    assert np.allclose(found[0], gradient) and np.allclose(found[1], hessian) and found[2] == 35
+
+
+def test_quantile_is_exact(spark):
+    rng = np.random.default_rng(8)
+    for values in (rng.normal(size=3001) ** 5, np.repeat([1.0, 2.0], 50), np.array([3.0]), np.concatenate([[1e9], rng.normal(size=100)])):
+        df = spark.createDataFrame([(float(v),) for v in values], "s double")
+        for share in (0.0, 0.137, 0.5, 1.0):
+            assert quality_model.quantile(df, len(values), share) == pytest.approx(float(np.quantile(values, share)), rel=1e-12)
+
+
 def test_language_on_held_out_rows(spark):
     r = op5_language(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
     print(f"language, held out: {(r.lang_pred == r.lang).mean():.4f} of {len(r)} right")
