@@ -4,6 +4,8 @@ Two closed intervals overlap if and only if the later of their starts lies in bo
 interval. Time is halved again and again; an interval is cut into the largest whole halves that
 make it up, two of each size at most, and a start lies in one half of each size. The halves of an interval don't overlap, so a start meets
 it in one of them at most, and no pair comes twice. As good as every meeting is a result: only at the finest size, of `unit`, are the ends compared.
+
+The meetings are counted beforehand, half by half, and set the number of tasks; a half with more than MEETINGS is split among several.
 """
 
 from __future__ import annotations
@@ -16,10 +18,11 @@ from loomwork.shared import written
 from loomwork.tables import load
 
 SIZES = 40
+MEETINGS = 1 << 23
 
 
-def halves(start: Column, end: Column) -> Column:
-    """array<struct<size, place>>: the halves that make up the units start to end (both in), `place` counted in steps of 2**size units."""
+def halves(start: Column, end: Column, sizes: int = SIZES) -> Column:
+    """array<struct<size, place>>: the halves that make up the units start to end (both in), fewer than 2**sizes, `place` counted in steps of 2**size units."""
 
     def of(size: int) -> list[Column]:
         # what is left at this size begins at the first whole half at or after start, and ends at the last before end
@@ -29,19 +32,39 @@ def halves(start: Column, end: Column) -> Column:
         alone = F.pmod(low, F.lit(2)) == 1
         return [one(low, (low <= high) & alone), one(high, (low <= high) & (F.pmod(high, F.lit(2)) == 0) & ~((low == high) & alone))]
 
-    return F.array_compact(F.array(*(h for size in range(SIZES) for h in of(size))))
+    return F.array_compact(F.array(*(h for size in range(sizes) for h in of(size))))
 
 
 def starts_in(starts: DataFrame, spans: DataFrame, keys: list[str], after: bool = False) -> DataFrame:
     """(id, other) with the start of `id` in the interval of `other` (or, with `after`, behind its start), of tables (keys, id, low, high, low_unit, high_unit)."""
-    cut = written(spans.select(*keys, F.col("id").alias("other"), F.col("low").alias("from"), F.col("high").alias("to"), F.explode(halves(F.col("low_unit"), F.col("high_unit"))).alias("half")).select("*", "half.size", "half.place").drop("half"), "halves")
+    longest = spans.agg(F.max(F.col("high_unit") - F.col("low_unit") + 1)).first()[0] or 0
+    cut = written(spans.select(*keys, F.col("id").alias("other"), F.col("low").alias("from"), F.col("high").alias("to"), F.explode(halves(F.col("low_unit"), F.col("high_unit"), min(SIZES, max(1, longest.bit_length())))).alias("half")).select("*", "half.size", "half.place").drop("half"), "halves")
     sizes = [r["size"] for r in cut.select("size").distinct().collect()]  # SIZES at most
     if not sizes:
         return starts.select("id", F.col("id").alias("other")).limit(0)
     at = F.array(*(F.struct(F.lit(s).alias("size"), F.floor(F.col("low_unit") / (1 << s)).cast("long").alias("place")) for s in sizes))
     points = starts.select(*keys, "id", "low", F.explode(at).alias("half")).select("*", "half.size", "half.place").drop("half")
     inside = F.col("low") > F.col("from") if after else F.col("low") >= F.col("from")
-    return points.join(cut, [*keys, "size", "place"]).where(inside & (F.col("low") <= F.col("to"))).select("id", "other")
+    points, cut, on = spread(points, cut, [*keys, "size", "place"])
+    return points.join(cut, on).where(inside & (F.col("low") <= F.col("to"))).select("id", "other")
+
+
+def spread(left: DataFrame, right: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides of an inner join and its columns, such that no task has many more than MEETINGS pairs: by its bytes alone a partition doesn't show how many it has."""
+    count = lambda df, name: df.groupBy(on).agg(F.count("*").alias(name))
+    pairs = F.col("n").cast("double") * F.col("m")
+    met = written(count(left, "n").join(count(right, "m"), on).select(*on, F.ceil(pairs / MEETINGS).cast("int").alias("shares"), pairs.alias("pairs")), "meetings")
+    total, most = met.agg(F.sum("pairs"), F.max("shares")).first()
+    if (total or 0) <= MEETINGS:
+        return left, right, on
+    if most > 1:
+        hot = met.where("shares > 1").select(*on, "shares")
+        shares = F.coalesce("shares", F.lit(1))
+        left = left.join(hot, on, "left").withColumn("part", F.pmod(F.xxhash64("id", "low"), shares).cast("int")).drop("shares")
+        right = right.join(hot, on, "left").withColumn("part", F.explode(F.sequence(F.lit(0), shares - 1))).drop("shares")
+        on = [*on, "part"]
+    tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1 << 14, int(total // MEETINGS) + 1))
+    return left.repartition(tasks, *on), right.repartition(tasks, *on), on
 
 
 def overlaps(left: DataFrame, right: DataFrame, start: str, end: str, keys: list[str] | None = None, unit: float = 3600) -> DataFrame:
@@ -61,6 +84,10 @@ def overlaps(left: DataFrame, right: DataFrame, start: str, end: str, keys: list
         return df.where(fit).select(*keys, "id", F.col(start).alias("low"), F.col(end).alias("high"), in_units(start).alias("low_unit"), in_units(end).alias("high_unit"))
 
     a, b = ready(left), ready(right)
+    return _by_halves(a, b, keys)
+
+
+def _by_halves(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     later = starts_in(a, b, keys).select(F.col("id").alias("left_id"), F.col("other").alias("right_id"))
     # equal starts are in the first part
     earlier = starts_in(b, a, keys, after=True).select(F.col("other").alias("left_id"), F.col("id").alias("right_id"))
