@@ -5,12 +5,13 @@ interval. Time is halved again and again; an interval is cut into the largest wh
 make it up, two of each size at most, and a start lies in one half of each size. The halves of an interval don't overlap, so a start meets
 it in one of them at most, and no pair comes twice. As good as every meeting is a result: only at the finest size, of `unit`, are the ends compared.
 
-The meetings are counted beforehand, half by half, and set the number of tasks; a half with more than MEETINGS is split among several.
+The meetings are counted beforehand, half by half, and set the number of tasks; a half with more than MEETINGS is split among several. Rows with keys
+meet those of the other table directly where these are FEW of a key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +19,7 @@ from loomwork.shared import written
 from loomwork.tables import load
 
 SIZES = 40
+FEW = 64
 MEETINGS = 1 << 23
 
 
@@ -84,7 +86,15 @@ def overlaps(left: DataFrame, right: DataFrame, start: str, end: str, keys: list
         return df.where(fit).select(*keys, "id", F.col(start).alias("low"), F.col(end).alias("high"), in_units(start).alias("low_unit"), in_units(end).alias("high_unit"))
 
     a, b = ready(left), ready(right)
-    return _by_halves(a, b, keys)
+    if not keys:
+        return _by_halves(a, b, keys)
+    b = written(b.withColumn("n", F.count("*").over(Window.partitionBy(keys))), "spans_by_key")
+    few, many = (b.where(of).drop("n") for of in (F.col("n") <= FEW, F.col("n") > FEW))
+    other = few.select(*keys, F.col("id").alias("right_id"), F.col("low").alias("from"), F.col("high").alias("to"))
+    direct = a.join(other, keys).where((F.col("low") <= F.col("to")) & (F.col("from") <= F.col("high"))).select(F.col("id").alias("left_id"), "right_id")
+    if many.isEmpty():
+        return direct
+    return direct.unionByName(_by_halves(written(a.join(many.select(keys).distinct(), keys, "left_semi"), "many_of_key"), many, keys))
 
 
 def _by_halves(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

@@ -64,6 +64,31 @@ def test_overlaps(spark, keys, unit):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_overlaps_of_crowded_halves_are_spread(spark, monkeypatch, keys):
+    """Keys beyond those few that are compared directly, halves with more meetings than a task is to have: the same pairs, by as many tasks as these ask for."""
+    left, right = spans(1, 90, 50), [*spans(2, 80, 7), *[(500 + i, 1, DAY, DAY + dt.timedelta(hours=2)) for i in range(40)]]
+    left += [(600 + i, 1, DAY + dt.timedelta(hours=1), DAY + dt.timedelta(hours=3)) for i in range(40)] + [(700, 3, DAY, DAY + dt.timedelta(hours=300))]
+    right += [(701, 3, DAY + dt.timedelta(hours=300), DAY + dt.timedelta(hours=301)), (702, 3, DAY + dt.timedelta(hours=301), DAY + dt.timedelta(hours=302))]
+    schema = "id long, k int, begins timestamp, ends timestamp"
+    monkeypatch.setattr(intervals, "FEW", 4)
+    monkeypatch.setattr(intervals, "MEETINGS", 100)
+    sides = []
+    given = intervals.spread
+
+    def watched(*sides_and_columns):
+        found = given(*sides_and_columns)
+        sides.append((found[0].rdd.getNumPartitions(), found[1].rdd.getNumPartitions(), found[2]))
+        return found
+
+    monkeypatch.setattr(intervals, "spread", watched)
+    got = intervals.overlaps(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), "begins", "ends", keys)
+    want = [(a[0], b[0]) for a in left for b in right if a[2] <= b[3] and b[2] <= a[3] and (not keys or a[1] == b[1] is not None)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    tasks, same, on = max(sides)
+    assert tasks == same > 16 and "part" in on  # 1600 pairs and more, in one half for the most part
+
+
 def test_overlaps_of_nothing(spark):
     none = spark.createDataFrame([], "id long, begins timestamp, ends timestamp")
     assert intervals.overlaps(none, none, "begins", "ends").collect() == []
