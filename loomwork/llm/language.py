@@ -292,9 +292,9 @@ def drawn(docs: DataFrame, usable: Column, per_language: int, max_bytes: int) ->
     """(doc_id, text, lang) of about so many documents of each language, and so much text, by a hash of the id."""
     known = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
     draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20))
-    # the languages are what is to be learned, so there are few
+    # the languages are what is to be learned, so there are few; without the hint both sides, texts and all, would be shuffled by them
     shares = known.groupBy(F.col("lang").alias("of_lang")).agg(F.least(F.lit(1.0), F.lit(per_language) / F.count("*")).alias("share"))
-    sample = known.join(shares, F.col("lang") == F.col("of_lang")).where(draw < F.col("share") * (1 << 20))
+    sample = known.join(F.broadcast(shares), F.col("lang") == F.col("of_lang")).where(draw < F.col("share") * (1 << 20))
     size = sample.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     less = min(1.0, max_bytes / max(1, size))
     return (sample if less == 1 else sample.where(draw < F.col("share") * (1 << 20) * less)).select("doc_id", "text", "lang")

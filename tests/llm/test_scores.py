@@ -11,7 +11,7 @@ import pytest
 from conftest_llm import ODD
 from pyspark.sql import functions as F
 
-from loomwork.llm.language import Chain, Lexicon, fit, languages, op5_language
+from loomwork.llm.language import Chain, Lexicon, drawn, fit, languages, op5_language
 from loomwork.llm.quality import op9_quality, quality
 from loomwork.llm import quality as quality_model
 from loomwork.llm import toxicity as kn
@@ -166,6 +166,19 @@ def test_quantile_is_exact(spark):
             assert quality_model.quantile(df, len(values), share) == pytest.approx(float(np.quantile(values, share)), rel=1e-12)
 
 
+def test_languages_are_drawn_without_a_shuffle_of_texts(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", "de" if i % 3 else "en") for i in range(30)], "doc_id long, text string, lang string")
+    given = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables whose size isn't known
+        sample = drawn(docs, F.lit(True), 500, 1 << 24)
+        plan = sample._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        assert sample.count() == 30
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", given)
+
+
 def test_language_on_held_out_rows(spark):
     r = op5_language(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
     print(f"language, held out: {(r.lang_pred == r.lang).mean():.4f} of {len(r)} right")
