@@ -119,9 +119,14 @@ def _place(key: Column) -> Column:
 
 
 def lookup_table(rows: DataFrame) -> DataFrame:
-    """(key, value) of bounded size as one array of maps: a key is in the map at its hash modulo BUCKETS."""
+    """(key, value) of bounded size as one array of maps: a key is in the map at its hash modulo BUCKETS.
+
+    A map is searched from its first key on. With a column `n`, keys come by falling n, so that what is seen most is found first.
+    """
     spark = rows.sparkSession
-    parts = rows.select(_place(F.col("key")).alias("part"), F.struct("key", "value").alias("entry")).groupBy("part").agg(F.collect_list("entry").alias("entries"))
+    order = -F.col("n") if "n" in rows.columns else F.lit(0)
+    entries = F.transform(F.sort_array(F.collect_list("entry")), lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value")))
+    parts = rows.select(_place(F.col("key")).alias("part"), F.struct(order.alias("order"), "key", "value").alias("entry")).groupBy("part").agg(entries.alias("entries"))
     every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("part")).join(parts, "part", "left")
     none = F.array().cast(parts.schema["entries"].dataType)
     ordered = F.sort_array(F.collect_list(F.struct("part", F.coalesce("entries", none).alias("entries"))))
@@ -141,8 +146,12 @@ def rank_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """The body with the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """The body with the value computed once: the end of a fold over nothing, which is interpreted without asking for the body's type each time."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda acc, _: acc, body)
+
+
+def _if(condition: Column, yes: Column, no: Column) -> Column:
+    return F.call_function("if", condition, yes, no)
 
 
 def _pair(rank: Callable[[Column], Column], a: Column, b: Column) -> Column:
@@ -193,36 +202,40 @@ def _short(rank: Callable[[Column], Column], data: Column) -> Column:
     """Merges one pair at a time, of FIELD bytes at most.
 
     A piece is one integer, from the top: the rank of the pair it begins, its place in the bytes, its end and the pair's end. So the least of all
-    is the leftmost pair of the least rank, and a merge touches that piece and its neighbours only.
+    is the leftmost pair of the least rank, and a merge changes its neighbours only; the others are told by one comparison of a field.
+    Each node of an expression is interpreted for each piece and step: fields are put together by OR, as the sum looks up its type at every call.
     """
-    n = F.length(data).cast("long")
-    at_bits, end_bits, last_bits = FIELD << 18, FIELD << 9, FIELD
-    at = lambda x: F.shiftright(x, 18).bitwiseAND(F.lit(FIELD))
-    end = lambda x: F.shiftright(x, 9).bitwiseAND(F.lit(FIELD))
-    last = lambda x: x.bitwiseAND(F.lit(last_bits))
-    cut = lambda begin, until: F.substring(data, begin.cast("int") + 1, (until - begin).cast("int"))
-    high = lambda r: F.shiftleft(r.cast("long"), 27)
-    pair = lambda begin, until: high(F.coalesce(rank(cut(begin, until)), F.lit(NONE)))
+    n = F.length(data)
+    ats, ends, lasts = (F.lit(x).cast("long") for x in (FIELD << 18, FIELD << 9, FIELD))
+    at = lambda x: F.shiftright(x, 18).bitwiseAND(lasts)
+    end = lambda x: F.shiftright(x, 9).bitwiseAND(lasts)
+    last = lambda x: x.bitwiseAND(lasts)
+    cut = lambda begin, until: F.substring(data, begin.cast("int") + F.lit(1), (until - begin).cast("int"))
     none = F.lit(NONE << 27)
+    high = lambda key: F.coalesce(F.shiftleft(rank(key).cast("long"), 27), none)
+    pair = lambda begin, until: let(cut(begin, until), high)
 
     def single(i: Column) -> Column:
-        two = F.least(i + 2, n)
-        return F.when(i < n - 1, pair(i, two)).otherwise(none) + F.shiftleft(i, 18) + F.shiftleft(i + 1, 9) + two
+        places = F.lit((1 << 9) + 2) + i.cast("long") * F.lit((1 << 18) + (1 << 9) + 1)  # i, i + 1, i + 2
+        return _if(i < n - F.lit(1), let(F.substring(data, i + F.lit(1), F.lit(2)), high).bitwiseOR(places), none.bitwiseOR(places - F.lit(1)))
 
     def step(pieces: Column, m: Column) -> Column:
-        def around(x: Column) -> Column:
-            alone = last(x) == end(x)
-            merged = F.when(alone, none).otherwise(pair(at(m), last(x))) + m.bitwiseAND(F.lit(at_bits)) + x.bitwiseAND(F.lit(end_bits | last_bits))
-            before = pair(at(x), last(m)) + x.bitwiseAND(F.lit(at_bits | end_bits)) + last(m)
-            follows = x.bitwiseAND(F.lit(at_bits)) == F.shiftleft(m.bitwiseAND(F.lit(end_bits)), 9)
-            leads = F.shiftleft(x.bitwiseAND(F.lit(end_bits)), 9) == m.bitwiseAND(F.lit(at_bits))
-            return F.when(follows, merged).when(leads, before).otherwise(x)
+        def around(left: Column, right: Column) -> Column:
+            def changed(x: Column) -> Column:
+                alone = last(x) == end(x)
+                merged = _if(alone, none, pair(at(m), last(x))).bitwiseOR(m.bitwiseAND(ats)).bitwiseOR(x.bitwiseAND(F.lit(FIELD << 9 | FIELD).cast("long")))
+                before = pair(at(x), last(m)).bitwiseOR(x.bitwiseAND(F.lit(FIELD << 18 | FIELD << 9).cast("long"))).bitwiseOR(last(m))
+                near = _if(x.bitwiseAND(ends) == left, before, merged)
+                return _if(x.bitwiseAND(ends) < left, x, _if(x.bitwiseAND(ats) > right, x, near))
+
+            return F.transform(F.array_remove(pieces, m), changed)
 
-        return F.transform(F.filter(pieces, lambda x: x != m), around)
+        # m's beginning where others have their end, and its end where they have their beginning
+        return let(F.shiftright(m.bitwiseAND(ats), 9), lambda left: let(F.shiftleft(m.bitwiseAND(ends), 9), lambda right: around(left, right)))
 
-    merge = lambda acc, _: let(F.array_min(acc), lambda m: F.when(m >= none, acc).otherwise(step(acc, m)))
-    start = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), single)
-    return F.aggregate(F.sequence(F.lit(2), F.length(data)), start, merge, lambda acc: F.transform(acc, lambda x: cut(at(x), end(x))))
+    merge = lambda acc, _: let(F.array_min(acc), lambda m: _if(m >= none, acc, step(acc, m)))
+    start = F.transform(F.sequence(F.lit(0), n - F.lit(1)), single)
+    return F.aggregate(F.sequence(F.lit(2), n), start, merge, lambda acc: F.transform(acc, lambda x: cut(at(x), end(x))))
 
 
 def merged_pieces(rank: Callable[[Column], Column], data: Column, short: int = SHORT) -> Column:
@@ -252,7 +265,7 @@ def ids_of(maps: Column, piece: Column, short: int = SHORT) -> Column:
 
 
 def frequent(pieces: DataFrame, most: int = MOST) -> DataFrame:
-    """Distinct pieces seen at least as often as lets at most `most` through, by steps of an eighth of an octave."""
+    """Distinct pieces, and how often they are seen (n), of those seen at least as often as lets at most `most` through, by steps of an eighth of an octave."""
     step = F.floor(8 * F.log2("n")).cast("int")
     counts = kept(pieces.groupBy("piece").agg(F.count("*").alias("n")).where("n > 1"), "pieces")
     held, bound = 0, None
@@ -261,7 +274,7 @@ def frequent(pieces: DataFrame, most: int = MOST) -> DataFrame:
         if held > most:
             break
         bound = row["step"]
-    return counts.where(step >= bound if bound is not None else F.lit(False)).select("piece")
+    return counts.where(step >= bound if bound is not None else F.lit(False))
 
 
 def encoded(docs: DataFrame, path: str, pattern: str | None = None, most: int = MOST, short: int = SHORT) -> DataFrame:
@@ -273,7 +286,7 @@ def encoded(docs: DataFrame, path: str, pattern: str | None = None, most: int =
 
     def whole(maps: Column) -> DataFrame:
         common = frequent(docs.select(F.explode(pieces).alias("piece")), most)
-        known = kept(common.select(F.col("piece").alias("key"), ids_of(maps, F.col("piece"), short).alias("value")), "piece-ids")
+        known = kept(common.select(F.col("piece").alias("key"), ids_of(maps, F.col("piece"), short).alias("value"), "n"), "piece-ids")
         ids = lambda table: lambda piece: F.coalesce(found(table, piece), ids_of(maps, piece, short))
         return with_literal(lookup_table(known), lambda table: docs.withColumn("ids", F.flatten(F.transform(pieces, ids(table)))))
 

@@ -9,6 +9,7 @@ import tiktoken
 from conftest_llm import ODD
 from pyspark.sql import functions as F
 
+from loomwork.llm import bytebpe
 from loomwork.llm.bytebpe import NONE, byte_bpe, decoded, encoded, found, java_pattern, lookup_table, merged_pieces, ranks, with_literal
 
 
@@ -85,3 +86,13 @@ def test_pattern_keeps_what_java_cannot_know(spark):
     late = "".join(chr(c) for c in (0x870, 0x31350, 0x1C89))
     got = spark.createDataFrame([(f"a{late} b\u0085c",)], "t string").select(F.regexp_extract_all("t", F.lit(pattern), F.lit(0))).first()[0]
     assert got[0] == f"a{late}" and hashlib.sha256("".join(got).encode()).digest() == hashlib.sha256(f"a{late} b\u0085c".encode()).digest()
+
+
+def test_what_is_seen_most_is_found_first(spark, monkeypatch):
+    """A map is searched from its first key on; all keys are in one map here."""
+    monkeypatch.setattr(bytebpe, "BUCKETS", 1)
+    rows = spark.createDataFrame([("a", 1, 5), ("b", 2, 900), ("c", 3, 70), ("d", 4, 70)], "key string, value int, n long").repartition(4)
+    table = lookup_table(rows)
+    assert table.select(F.map_keys(F.get("maps", F.lit(0)))).first()[0] == ["b", "c", "d", "a"]
+    got = with_literal(table, lambda m: spark.range(1).select(*(found(m, F.lit(k)).alias(k) for k in "abcdx"))).first()
+    assert list(got) == [1, 2, 3, 4, None]
